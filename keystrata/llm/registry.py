@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import decontamination, exact_dedup, near_dedup, substring_dedup
+from keystrata.llm import bpe, decontamination, exact_dedup, near_dedup, quality, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_quality": quality.op9_quality,
     }
 
 
