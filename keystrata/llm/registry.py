@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bpe, decontamination, exact_dedup, near_dedup, quality, substring_dedup, toxicity
+from keystrata.llm import bpe, decontamination, exact_dedup, lm_scoring, near_dedup, quality, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_quality": quality.op9_quality,
+        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     }
 
 
