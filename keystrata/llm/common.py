@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _local_scratch: dict[str, str] = {}
+_passing: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +37,25 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/keystrata-{uuid.uuid4().hex}-{tag}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized within go when the block ends; what is to stay is materialized with keep=True."""
+    folder = scratch_path(spark, "passing")
+    _passing.append(folder)
+    try:
+        yield
+    finally:
+        _passing.pop()
+        drop_path(spark, folder)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared scratch folder and read it back.
 
     Unlike a local checkpoint it survives lost executors, and it is computed once.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
+    path = scratch_path(spark, tag) if keep or not _passing else f"{_passing[-1]}/{uuid.uuid4().hex[:8]}-{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,47 +269,77 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, caps: dict[i
     return [r["__t"] or "" for r in rows], [r["__y"] for r in rows], (counts.get(1, 0) / total if total else None)
 
 
+class Scorer:
+    """Scores texts with a machine, remembering segments' values in two generations of bounded size."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.memo, self.old = machine, {}, {}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        m = self.machine
+        if m.weight is None:
+            return np.full(len(texts), m.constant)
+        bags = []
+        for text in texts:
+            low = text.lower()
+            bag = set(low.split())
+            if SPELLED.search(low):
+                bag |= segments(low)
+            bags.append(bag)
+        fresh = []
+        for w in set().union(*bags) - self.memo.keys():
+            if w in self.old:
+                self.memo[w] = self.old[w]
+            else:
+                fresh.append(w)
+        self.memo.update(zip(fresh, m.values([w.strip(OUTER) for w in fresh]).tolist()))
+        top = np.array([max(map(self.memo.__getitem__, bag), default=m.bias) for bag in bags])
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        return m.score(top)
+
+
+def slices(texts: Iterator[str], size: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in lists of about `size` characters."""
+    out, held = [], 0
+    for t in texts:
+        out.append(t)
+        held += len(t)
+        if held > size:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and score of each row."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(machine)  # one weight per subsequence: 1 MB
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # one weight per subsequence: 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo, old = model.value, {}, {}
+        scorer = Scorer(model.value)
         for batch in batches:
             at = 0
-            while at < batch.num_rows:
-                bags, size, start = [], 0, at
-                for text in texts_of(batch.column(1).slice(at)):
-                    at += 1
-                    if m.weight is not None:
-                        low = text.lower()
-                        bag = set(low.split())
-                        if SPELLED.search(low):
-                            bag |= segments(low)
-                        bags.append(bag)
-                    size += len(text)
-                    if size > 2_000_000:
-                        break
-                n = at - start
-                if m.weight is None:
-                    score = np.full(n, m.constant)
-                else:
-                    fresh = []
-                    for w in set().union(*bags) - memo.keys():
-                        if w in old:
-                            memo[w] = old[w]
-                        else:
-                            fresh.append(w)
-                    memo.update(zip(fresh, m.values([w.strip(OUTER) for w in fresh]).tolist()))
-                    score = m.score(np.array([max(map(memo.__getitem__, bag), default=m.bias) for bag in bags]))
-                    if len(memo) > MEMO:
-                        memo, old = {}, memo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(score, pa.float64())], [id_col, "score"])
+            for texts in slices(texts_of(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(scorer.scores(texts), pa.float64())], [id_col, "score"])
+                at += len(texts)
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` long, score double")
 
 
+def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under reject_at; no join, so identifiers don't matter."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.pandas_udf("double")
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model.value)
+        for column in columns:
+            yield pd.Series(np.concatenate([scorer.scores(t) for t in slices(x or "" for x in column)] or [np.zeros(0)]))
+
+    return docs.filter(score(F.col(text_col)) < reject_at)
+
+
 def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, held_out, score, predicted of each row of docs, by a machine fitted on train_docs and labels."""
     texts, ys, prior = training_sample(train_docs, labels, "toxic", {1: MAX_TOXIC, 0: MAX_CLEAN}, id_col=id_col, text_col=text_col)
