@@ -9,6 +9,7 @@ write new files, commit, and leave old files to readers of retained manifest ver
 from __future__ import annotations
 
 import threading
+import uuid
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,7 +178,7 @@ class Store:
         self.manifest = self.manifests.commit(replace(self.manifest, runs=(*run, *self.manifest.runs), **changes))
 
     def _write_run(self, rows: DataFrame, level: int, parts: int, separate: bool = True, split: bool = False) -> list[RunInfo]:
-        name = run_name(self.manifest.next_run)
+        name = f"{run_name(self.manifest.next_run)}-{uuid.uuid4().hex[:8]}"  # another writer may use the number too
         path = f"{self.path}/runs/{name}"
         gen = self.manifest.generation
         self.manifest = replace(self.manifest, next_run=self.manifest.next_run + 1)
