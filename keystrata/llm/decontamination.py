@@ -53,6 +53,12 @@ def _whole(words: Column) -> Column:
     return F.xxhash64(F.lit(-1), F.size(words), F.array_join(words, " "))
 
 
+def _whole_slices(words: Column, n: int) -> Column:
+    """array<struct<at, h>> of the hashes of all n-word slices; null for shorter texts."""
+    at = F.sequence(F.lit(0), F.size(words) - n)
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.struct(i.alias("at"), _whole(F.slice(words, i + 1, n)).alias("h"))))
+
+
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS,
@@ -69,10 +75,8 @@ def contaminated_spans(
 
     w = F.col("__w")
     tokens = docs.select(F.col(id_col).alias("__id"), words_of(F.col(text_col)).alias("__w"))
-    found = [F.coalesce(_seeds(w, STRIDE), F.array().cast("array<struct<at:int,h:bigint>>"))]
-    for n in lengths:
-        at = F.sequence(F.lit(0), F.size(w) - n)
-        found.append(F.when(F.size(w) >= n, F.transform(at, lambda i, n=n: F.struct(i.alias("at"), _whole(F.slice(w, i + 1, n)).alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    found = [F.coalesce(_seeds(w, STRIDE), none), *(F.coalesce(_whole_slices(w, n), none) for n in lengths)]
     probes = tokens.filter(F.size(w) > 0).select("__id", "__w", F.explode(F.concat(*found)).alias("s")).select("__id", "__w", F.col("s.at").alias("__at"), F.col("s.h").alias("__h"))
     if not small:
         probes = probes.select("__id", "__at", "__h")  # words must not ride through a shuffle; they come back below
