@@ -2,14 +2,16 @@
 
 1. One Arrow pass gives each text its set size, a 64-bit class id of its shingle set, `bands` band keys of
    `rows` MinHash samples each, and an Odd sketch: sample i flips bit hash(i, minimum) of a parity bitmap, so
-   the population count of the XOR of two bitmaps tells how many samples differ.
+   the population count of the XOR of two bitmaps tells how many samples differ. A second, wider parity bitmap
+   of all shingles tells the size of the symmetric difference.
 2. Texts with equal sets form a class; from here on only classes are compared.
 3. Classes that share a band key are candidates. First each is compared with a few bucket heads (star links,
    linear in the input); links the sketches can't exclude are confirmed on full sets; components follow.
 4. Buckets whose members already share a component are done. In the others every pair from different
    components is compared, in blocks, by sketch; the largest component of a bucket is compared only with the
-   rest, never with itself. Pairs the sketches can't exclude are confirmed on full sets, the best pair of two
-   components first. Only confirmed links leave a stage, so no group's pairs are ever all emitted.
+   rest, never with itself. Of the pairs the sketches put clearly over the threshold, a block emits only a
+   spanning forest; pairs too close to call are emitted if that forest doesn't join them already. All emitted
+   pairs are confirmed on full sets. Should a clear pair ever fail, the blocks run again without the forest.
 
 A pair at the threshold shares no band with probability (1 - t^rows)^bands (3e-6 with the defaults at 0.85),
 and the sketch filter lies `z` standard deviations under the threshold. Everything that passes is exact.
@@ -26,19 +28,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import kernels as K
-from keystrata.llm.common import attach_group, materialize, table
+from keystrata.llm.common import attach_group, materialize, passing_tables, table
 from keystrata.llm.components import connected_components
 
-ROWS, BANDS, SKETCH_BITS = 8, 40, 512
+ROWS, BANDS, SKETCH_BITS, WIDE_BITS = 8, 40, 512, 2048
 SAMPLES = ROWS * BANDS
 BLOCK = 2048
-SIG_SCHEMA = "doc_id long, n_shingles long, cid long, sketch binary, bands array<long>"
+SIG_SCHEMA = "doc_id long, n_shingles long, cid long, sketch binary, wide binary, bands array<long>"
 
 _A = (K.seeded(SAMPLES, 11) & K.U64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (K.seeded(SAMPLES, 12) & K.U64(0xFFFFFFFF)).astype(np.uint32)
@@ -66,6 +67,22 @@ def odd_sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), axis=1)
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """The parity bitmap of a whole set, WIDE_BITS wide, packed."""
+    flips = np.bincount((shingles % K.U64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def wide_limits(total: np.ndarray, num: int, den: int, z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Odd bits of two wide sketches up to which a pair with `total` = |A| + |B| is clearly over num/den, and above which clearly under."""
+    diff = total * (den - num) / (den + num)
+    n = WIDE_BITS
+    mean = n / 2 * -np.expm1(diff * np.log1p(-2 / n))
+    fade = np.exp(-4 * diff / n)
+    slack = z * np.sqrt(np.maximum(n / 4 * (1 - fade) - diff * fade, 0.25)) + 1
+    return mean - slack, mean + slack
+
+
 def set_id(shingles: np.ndarray) -> np.int64:
     """One hash of a sorted set."""
     return K.signed(K.mix64(K.mix64(shingles * _SET_MULT).sum(dtype=K.U64, keepdims=True) + K.U64(len(shingles))))[0]
@@ -90,28 +107,30 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 own = offsets[i : j + 1] - offsets[i]
                 low = K.lower_bytes(data[offsets[i] : offsets[j]])
                 starts, ends, counts = K.word_spans(low, own)
-                sizes, cids, sigs, full = [], [], [], []
+                sizes, cids, sigs, full, wides = [], [], [], [], []
                 for at, s in enumerate(K.shingle_sets(K.word_hashes(low, starts, ends), counts, k)):
                     sizes.append(len(s))
                     if len(s):
                         cids.append(set_id(s))
                         sigs.append(minhash(s))
+                        wides.append(wide_sketch(s))
                         full.append(at)
                 n = j - i
                 cid = np.zeros(n, np.int64)
                 has = np.zeros(n, bool)
                 sketches: list = [None] * n
+                wide: list = [None] * n
                 bands = [np.zeros(0, np.int64)] * n
                 if full:
                     cid[full], has[full] = cids, True
                     sig = np.stack(sigs)
                     key = (sig.reshape(len(full), BANDS, ROWS).astype(K.U64) * _BAND_MULT).sum(axis=2, dtype=K.U64)
                     key = K.signed(K.mix64(K.mix64(key) + _BAND_SALT))
-                    for at, s, b in zip(full, odd_sketch(sig), key):
-                        sketches[at], bands[at] = s.tobytes(), b
+                    for at, s, v, b in zip(full, odd_sketch(sig), wides, key):
+                        sketches[at], wide[at], bands[at] = s.tobytes(), v, b
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), pa.array(sketches, pa.binary()), K.list_array(bands)],
-                    ["doc_id", "n_shingles", "cid", "sketch", "bands"],
+                    [batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), K.list_array(bands)],
+                    ["doc_id", "n_shingles", "cid", "sketch", "wide", "bands"],
                 )
 
     return docs.mapInArrow(run, SIG_SCHEMA)
@@ -143,46 +162,92 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+OPEN = ["bkey", "i", "j", "left", "cid", "comp", "n", "minor", "sketch", "wide", "bands"]
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("odd", pa.int32()), ("clear", pa.bool_())])
 
 
-def cross_pairs(limit: int, num: int, den: int):
-    """A function for applyInPandas: pairs of one block of a bucket's minority with one block of the bucket.
+def cross_pairs(limit: int, num: int, den: int, forest: bool):
+    """A function for mapInArrow over OPEN rows sorted by (bkey, i, j): pairs to confirm.
 
-    A pair is emitted only in the first band the two share, only if their components differ, their sizes
-    allow the threshold and their sketches don't exclude it.
+    Each run of equal keys is one block of a bucket's minority against one block of the bucket. A pair counts
+    only in the first band the two share, only if their components differ, their sizes allow the threshold
+    and neither sketch excludes it.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["left"]], rows[~rows["left"]]
-        empty = pd.DataFrame({"a": [], "b": [], "ca": [], "cb": [], "odd": []}).astype({"a": "int64", "b": "int64", "ca": "int64", "cb": "int64", "odd": "int32"})
-        if not len(left) or not len(right):
-            return empty
-
-        def matrix(col: pd.Series, dtype) -> np.ndarray:
-            return np.frombuffer(b"".join(col), dtype=dtype).reshape(len(col), -1)
-
-        ls, rs = matrix(left["sketch"], np.uint64), matrix(right["sketch"], np.uint64)
-        lb, rb = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
-        lc, rc = left["comp"].to_numpy(), right["comp"].to_numpy()
-        li, ri = left["cid"].to_numpy(), right["cid"].to_numpy()
-        ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
-        minor = right["minor"].to_numpy()
-        key, out = rows["bkey"].iloc[0], []
-        for x in range(len(li)):
-            ok = np.flatnonzero((rc != lc[x]) & (np.minimum(rn, ln[x]) * den >= np.maximum(rn, ln[x]) * num) & ~(minor & (ri <= li[x])))
+    def block(c: dict[str, np.ndarray], key: int) -> list[tuple]:
+        li, ri = np.flatnonzero(c["left"]), np.flatnonzero(~c["left"])
+        if not len(li) or not len(ri):
+            return []
+        rc, rn, rid, minor = c["comp"][ri], c["n"][ri], c["cid"][ri], c["minor"][ri]
+        rs, rw, rb = c["sketch"][ri], c["wide"][ri], c["bands"][ri]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out, near = [], []
+        for x in li:
+            n, me = c["n"][x], c["cid"][x]
+            ok = np.flatnonzero((rc != c["comp"][x]) & (np.minimum(rn, n) * den >= np.maximum(rn, n) * num) & ~(minor & (rid <= me)))
             if not len(ok):
                 continue
-            odd = _POP[(rs[ok] ^ ls[x]).view(np.uint8)].reshape(len(ok), -1).sum(axis=1, dtype=np.int32)
-            near = odd <= limit
-            ok, odd = ok[near], odd[near]
+            odd = np.bitwise_count(rs[ok] ^ c["sketch"][x]).sum(axis=1, dtype=np.int32)
+            keep = odd <= limit
+            ok, odd = ok[keep], odd[keep]
             if not len(ok):
                 continue
-            same = rb[ok] == lb[x]
-            here = lb[x][same.argmax(axis=1)] == key
-            if here.any():
-                out.append(pd.DataFrame({"a": li[x], "b": ri[ok[here]], "ca": lc[x], "cb": rc[ok[here]], "odd": odd[here].astype(np.int32)}))
-        return pd.concat(out) if out else empty
+            diff = np.bitwise_count(rw[ok] ^ c["wide"][x]).sum(axis=1, dtype=np.int32)
+            sure, most = wide_limits((rn[ok] + n).astype(np.float64), num, den)
+            first = c["bands"][x][(rb[ok] == c["bands"][x]).argmax(axis=1)] == key
+            keep = first & (diff <= most)
+            for at, o, clear in zip(ok[keep].tolist(), odd[keep].tolist(), (diff < sure)[keep].tolist()):
+                ca, cb = int(c["comp"][x]), int(rc[at])
+                row = (int(me), int(rid[at]), ca, cb, o, clear)
+                if forest and clear:
+                    ra, rb_ = find(ca), find(cb)
+                    if ra != rb_:
+                        root[ra] = rb_
+                        out.append(row)
+                else:
+                    near.append(row)
+        return out + [r for r in near if not forest or find(r[2]) != find(r[3])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            part = part.combine_chunks()
+            n = part.num_rows
+            c = {k: part[k].to_numpy() for k in ("bkey", "i", "j", "cid", "comp", "n")} | {k: part[k].combine_chunks().to_numpy(zero_copy_only=False) for k in ("left", "minor")}
+            for k in ("sketch", "wide"):
+                c[k] = np.frombuffer(b"".join(part[k].to_pylist()), dtype=np.uint64).reshape(n, -1)
+            c["bands"] = part["bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+            new = np.ones(n, bool)
+            new[1:] = (c["bkey"][1:] != c["bkey"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
+            cut = np.append(np.flatnonzero(new), n)
+            rows = [r for a, b in zip(cut, cut[1:]) for r in block({k: v[a:b] for k, v in c.items()}, c["bkey"][a])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PAIRS.types)], schema=PAIRS)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = tuple(batch.column(i)[-1].as_py() for i in range(3))
+            same = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                same &= batch.column(i).to_numpy(zero_copy_only=False) == last[i]
+            tail = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if same.all() and held and tuple(held[-1].column(i)[-1].as_py() for i in range(3)) == last:
+                held.append(batch)
+                continue
+            whole = pa.Table.from_batches([*held, batch.slice(0, tail)])
+            if whole.num_rows:
+                yield from done(whole)
+            held = [batch.slice(tail)]
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -193,13 +258,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if den * |intersection| >= num * |union| of their distinct k-word shingles; a
     component takes the smallest identifier it holds. The default is five words and 0.8.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with passing_tables(docs.sparkSession):
+        out = materialize(_near_duplicates(slim, k, num, den), "near-duplicates", keep=True)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _near_duplicates(slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sig = materialize(signatures(slim, k), "sig")
     limit = most_odd_bits(num, den)
 
     # classes of equal sets; sets too small to differ and still reach the threshold need no bands
-    picked = F.min(F.struct("doc_id", "n_shingles", "sketch", "bands"))
+    picked = F.min(F.struct("doc_id", "n_shingles", "sketch", "wide", "bands"))
     classes = sig.filter("cid is not null").groupBy("cid").agg(picked.alias("x")).select("cid", "x.*")
     classes = materialize(classes, "classes")
     least = -(-num // max(den - num, 1))
@@ -210,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if members.isEmpty():
         comp = None
     else:
-        comp = _linked(spark, slim, classes, members, limit, k, num, den)
+        comp = _linked(slim, classes, members, limit, k, num, den)
 
     base = sig.select("doc_id", "n_shingles", "cid")
     if comp is not None:
@@ -222,10 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(
         base.filter("__comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out
 
 
-def _linked(spark: SparkSession, slim: DataFrame, classes: DataFrame, members: DataFrame, limit: int, k: int, num: int, den: int) -> DataFrame:
+def _linked(slim: DataFrame, classes: DataFrame, members: DataFrame, limit: int, k: int, num: int, den: int) -> DataFrame:
     active = members.select("cid").distinct().join(classes, "cid")
     active = materialize(active, "active")
     texts = slim.join(active.select("cid", "doc_id"), slim["doc_id"].eqNullSafe(active["doc_id"])).select("cid", "text")
@@ -248,29 +318,23 @@ def _linked(spark: SparkSession, slim: DataFrame, classes: DataFrame, members: D
     mix = labelled.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("n"))
     mix = mix.groupBy("bkey").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("size"))
     mix = mix.filter("kinds > 1").select("bkey", F.col("major.comp").alias("major"), F.col("size"), (F.col("size") - F.col("major.n")).alias("few"))
-    open_rows = labelled.join(mix, "bkey").join(active.select("cid", "sketch", "bands", F.col("n_shingles").alias("n")), "cid")
+    open_rows = labelled.join(mix, "bkey").join(active.select("cid", "sketch", "wide", "bands", F.col("n_shingles").alias("n")), "cid")
     open_rows = open_rows.withColumn("minor", F.col("comp") != F.col("major")).withColumn("nb", F.ceil(F.col("few") / BLOCK)).withColumn("nr", F.ceil(F.col("size") / BLOCK))
-    cols = ["bkey", "cid", "comp", "sketch", "bands", "n", "minor"]
+    cols = ["bkey", "cid", "comp", "sketch", "wide", "bands", "n", "minor"]
     block = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
-    left = open_rows.filter("minor").select(*cols, F.lit(True).alias("left"), block("nb", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    right = open_rows.select(*cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), block("nr", 2).alias("j"))
-    pairs = left.unionByName(right).groupBy("bkey", "i", "j").applyInPandas(cross_pairs(limit, num, den), "a long, b long, ca long, cb long, odd int")
-    pairs = materialize(pairs, "pairs")
+    left = open_rows.filter("minor").select(*cols, F.lit(True).alias("left"), block("nb", 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("j"))
+    right = open_rows.select(*cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("i"), block("nr", 2).alias("j"))
+    blocks = left.unionByName(right).select(OPEN).repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
+    schema = "a long, b long, ca long, cb long, odd int, clear boolean"
+    pairs = materialize(blocks.mapInArrow(cross_pairs(limit, num, den, True), schema), "pairs")
     if pairs.isEmpty():
         return comp
-
-    # the best pairs of two components first, then what is still open
-    first = pairs.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.min(F.struct("odd", "a", "b")).alias("x"), F.min_by(F.struct("b", "a"), F.struct("odd", F.xxhash64("a", "b"))).alias("y"))
-    first = first.select(F.explode(F.array(F.struct("x.a", "x.b"), F.struct(F.col("y.a").alias("a"), F.col("y.b").alias("b")))).alias("p")).select("p.*").distinct()
-    found = materialize(confirm(first, sets, num, den), "first-links")
-    comp = materialize(_merged(comp, found, "first"), "first-comp")
-    now = comp.select("node", "comp")
-    rest = pairs.select("a", "b").join(now.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(now.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
-    rest = rest.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, sets, num, den), "rest-links")
-    if more.isEmpty():
-        return comp
-    return _merged(comp, more, "rest")
+    found = materialize(confirm(pairs.dropDuplicates(["a", "b"]), sets, num, den), "links")
+    failed = pairs.filter("clear").select("a", "b").join(found, ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        pairs = blocks.mapInArrow(cross_pairs(limit, num, den, False), schema)
+        found = materialize(confirm(pairs.dropDuplicates(["a", "b"]), sets, num, den), "all-links")
+    return comp if found.isEmpty() else _merged(comp, found, "rest")
 
 
 def _merged(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
