@@ -141,7 +141,7 @@ def main_text(page: str, slots: set[int], boilerplate: set[int]) -> str:
             if boiler:
                 continue
             under = 2 if slots and any(p in slots for _, p, _, _ in stack) else 1 if main else 0
-            if not under and boilerplate and xxhash.xxh64_intdigest(f"{path}#{SPACE.sub(' ', raw).strip()}") >> 1 in boilerplate:
+            if not main and boilerplate and xxhash.xxh64_intdigest(f"{path}#{SPACE.sub(' ', raw).strip()}") >> 1 in boilerplate:
                 continue
             found[-1].append((under, entities.unescape(raw)))
         elif event == "gap":
