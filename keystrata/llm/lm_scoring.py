@@ -321,7 +321,7 @@ class Trie:
         loud = self.hot[where] == ctx
         successors[loud] = self.wide[where[loud]]
         count = level_counts(self.words, ctx, self.meta)
-        return share, DISCOUNT * successors / np.maximum(count, 1)
+        return share, np.where(count > 0, DISCOUNT * successors / np.maximum(count, 1), 1.0)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per document: tokens, known tokens, base score, score."""
