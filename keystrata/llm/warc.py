@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import attach_group, scratch_path, table
+from keystrata.llm.common import attach_group, materialize, scratch_path, table
 from keystrata.llm.elias_fano import write_file
 
 ROLL_BYTES, REVISIT_FROM = 8 << 20, 1000
@@ -112,6 +112,8 @@ def plan_revisits(pages: DataFrame, id_col: str, url_col: str, body_col: str, re
     named = rows.select("__id", F.unhex(F.sha1("__body")).alias("__sha"), F.octet_length("__body").alias("__len")).filter(F.col("__len") >= revisit_from)
     best = attach_group(named, ["__sha", "__len"], F.col("__id"), {"__best": (F.max("__id"), "max")})
     revisit = best.filter(F.col("__id") < F.col("__best")).select(F.col("__id").alias("__id2"), "__sha", "__len", "__best").distinct()
+    # written first, so that Spark knows its size: a short list is broadcast, and payloads aren't shuffled for it
+    revisit = materialize(revisit, "revisits", keep=True)
     keyed = rows.withColumn("__s", F.unhex(F.sha1("__body"))).withColumn("__l", F.octet_length("__body"))
     on = (keyed["__id"] == revisit["__id2"]) & (keyed["__s"] == revisit["__sha"]) & (keyed["__l"] == revisit["__len"])
     return keyed.join(revisit, on, "left").select("__id", "__url", "__body", F.col("__best").alias("__refers"))
