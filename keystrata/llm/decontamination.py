@@ -1,16 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. A seed is a fixed mask over `SPAN` consecutive
-words; the words under its zeros are ignored, so a hit survives substitutions there. Benchmark items are
-hashed at every position. Texts are hashed at every `STRIDE`-th position: any undisturbed overlap of
-SPAN + STRIDE - 1 words still holds an aligned seed, for a quarter of the work. Equal hashes name an item and
-an alignment (text position minus item position); around each alignment all words of the item are compared
-in place with the text's. The text is contaminated if at least `num/den` of the item's words agree there.
-Items shorter than SPAN words are hashed whole, at every position of the text, and must agree word for word.
-
-The seeds of the benchmark are broadcast only if a count shows at most `broadcast_rows` of them; else both
-sides are shuffled by hash. Hits are reduced per (text, item, alignment) with map-side combination, so a
-passage that a third of all texts share is no hot group.
+words; the words under its zeros are ignored, so a hit survives substitutions there. Benchmark items and
+texts are both hashed at every position, texts also at the one before their first word. The masks are chosen
+so that 8 to 15 words of which at most a fifth are changed, wherever, always hold an undisturbed seed; longer
+passages can be cut into such pieces, one of which has at most a fifth changed, so no copy within 80 % is
+missed. Equal hashes name an item and an alignment (text position minus item position); around each
+alignment all words of the item are compared with the text's. The text is contaminated if at least `num/den`
+of the item's words agree there. Items shorter than SPAN words are hashed whole, at every position of the
+text, and must agree word for word.
+
+Words become 64-bit hashes first and positions are exploded without the text. If a count shows at most
+`broadcast_rows` seeds they are broadcast, and positions with no hit go before anything else is done; else
+both sides are shuffled by hash. Hits are reduced to (text, item, alignment) with map-side combination, so a
+passage that a third of all texts share is no hot group; their texts are then joined back by identifier and
+hash of the text, whole rows once.
 
 Defined cases: null texts or items, and those without words, are never contaminated or contaminating;
 repeated rows are reported once per (id, item, alignment); an empty table on either side gives an empty
@@ -22,12 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import ascii_lower, table
+from keystrata.llm.common import ascii_lower, materialize, table
 
-# 11 0 1 0 11 and so on: three masks of span 8 and weight 5, such that no single word is under all of them.
-MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 4, 6), (1, 2, 4, 6, 7))
+# Masks of span 8 and weight 5. Any floor(n / 5) changed words among n = 8 ... 15 leave one of them whole somewhere.
+MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 4, 6), (1, 2, 4, 6, 7), (0, 1, 2, 5, 7), (0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
 SPAN = 8
-STRIDE = 4
 BROADCAST_ROWS = 500_000
 
 
@@ -36,16 +39,20 @@ def words_of(col: Column) -> Column:
     return F.filter(F.split(ascii_lower(col), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
-def _hash(words: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(words, at + j) for j in MASKS[mask]))
+def _windows(rows: DataFrame, words: str, keep: list[str], lead: int) -> DataFrame:
+    """keep, __at, __h0 ...: the seeds at each position of `words` from -lead on; where a word is missing they match nothing."""
+    none = F.array(F.lit(None).cast("long"))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashed = rows.select(*keep, (F.concat(none, hashes) if lead else hashes).alias("__hw"))
+    each = F.arrays_zip(*(F.slice("__hw", 1 + j, F.size("__hw")) for j in range(SPAN)))
+    spread = hashed.select(*keep, F.posexplode(each).alias("__at", "__s")).withColumn("__at", F.col("__at") - lead)
+    seeds = (F.xxhash64(F.lit(m), *(F.col("__s")[str(j)] for j in mask)).alias(f"__h{m}") for m, mask in enumerate(MASKS))
+    return spread.select(*keep, "__at", *seeds)
 
 
-def _seeds(words: Column, step: int) -> Column:
-    """array<struct<at, h>> for each mask at positions 0, step, 2 * step ..., and at the last possible one."""
-    last = F.size(words) - SPAN
-    at = F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)) if step > 1 else F.sequence(F.lit(0), last)
-    each = F.transform(at, lambda i: F.array(*(F.struct(i.alias("at"), _hash(words, i, m).alias("h")) for m in range(len(MASKS)))))
-    return F.when(last >= 0, F.flatten(each))
+def _stacked(windows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, __at, __h: one row per seed."""
+    return windows.select(*keep, "__at", F.explode(F.array(*(F.col(f"__h{m}") for m in range(len(MASKS))))).alias("__h"))
 
 
 def _whole(words: Column) -> Column:
@@ -65,39 +72,45 @@ def contaminated_spans(
 ) -> DataFrame:
     """One row per text, item and alignment that overlap: `id_col`, `item_col`, word_start, word_end, matched, item_words."""
     items = benchmark.select(F.col(item_col).alias("__item"), words_of(F.col(item_text_col)).alias("__iw")).filter(F.size("__iw") > 0)
-    items = items.withColumn("__n", F.size("__iw"))
-    seeds = items.filter(F.col("__n") >= SPAN).select("__item", "__n", F.explode(_seeds(F.col("__iw"), 1)).alias("s"))
-    seeds = seeds.select("__item", "__n", F.col("s.at").alias("__p"), F.col("s.h").alias("__h"))
-    short = items.filter(F.col("__n") < SPAN).select("__item", "__n", F.lit(0).alias("__p"), _whole(F.col("__iw")).alias("__h"))
+    items = items.withColumn("__n", F.size("__iw")).withColumn("__ik", F.xxhash64("__iw")).dropDuplicates(["__item", "__ik"])
+    name = ["__item", "__ik"]
+    long = items.filter(F.col("__n") >= SPAN)
+    seeds = _stacked(_windows(long, "__iw", [*name, "__n"], 0), [*name, "__n"]).filter(F.col("__at") <= F.col("__n") - SPAN)
+    seeds = seeds.select(*name, F.col("__at").alias("__p"), "__h")
+    short = items.filter(F.col("__n") < SPAN).select(*name, F.lit(0).alias("__p"), _whole(F.col("__iw")).alias("__h"))
     seeds = seeds.unionByName(short)
     small = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     lengths = [r[0] for r in items.filter(F.col("__n") < SPAN).select("__n").distinct().collect()]  # at most SPAN - 1 values
 
     w = F.col("__w")
-    tokens = docs.select(F.col(id_col).alias("__id"), words_of(F.col(text_col)).alias("__w"))
-    none = F.array().cast("array<struct<at:int,h:bigint>>")
-    found = [F.coalesce(_seeds(w, STRIDE), none), *(F.coalesce(_whole_slices(w, n), none) for n in lengths)]
-    probes = tokens.filter(F.size(w) > 0).select("__id", "__w", F.explode(F.concat(*found)).alias("s")).select("__id", "__w", F.col("s.at").alias("__at"), F.col("s.h").alias("__h"))
-    if not small:
-        probes = probes.select("__id", "__at", "__h")  # words must not ride through a shuffle; they come back below
-    hits = probes.join(F.broadcast(seeds) if small else seeds, "__h")
-    shift = (F.col("__at") - F.col("__p")).alias("__shift")
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__row"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    tokens = texts.select("__id", "__row", words_of(F.col("__text")).alias("__w"))
+    probes = _windows(tokens, "__w", ["__id", "__row"], 1)
     if small:
-        # the words around the hit, cut out before anything is moved; a clipped start is padded by its offset
-        begin = F.greatest(F.col("__at") - F.col("__p"), F.lit(0))
-        around = F.slice("__w", begin + 1, F.col("__n") + F.least(F.col("__at") - F.col("__p"), F.lit(0))).alias("__text")
-        near = hits.select("__id", "__item", shift, around).groupBy("__id", "__item", "__shift").agg(F.first("__text").alias("__text"))
-    else:
-        spots = hits.select("__id", "__item", "__n", shift).distinct()
-        begin = F.greatest(F.col("__shift"), F.lit(0))
-        near = spots.join(tokens.withColumnRenamed("__id", "__id2"), F.col("__id").eqNullSafe(F.col("__id2"))).select(
-            "__id", "__item", "__shift", F.slice("__w", begin + 1, F.col("__n") + F.least(F.col("__shift"), F.lit(0))).alias("__text")
-        )
-        near = near.dropDuplicates(["__id", "__item", "__shift", "__text"])
+        # most positions hit nothing: they go before their seeds become rows
+        keys = seeds.select("__h").distinct()
+        for m in range(len(MASKS)):
+            probes = probes.join(F.broadcast(keys.select(F.col("__h").alias(f"__h{m}"), F.lit(True).alias(f"__hit{m}"))), f"__h{m}", "left")
+        probes = probes.filter(F.coalesce(*(F.col(f"__hit{m}") for m in range(len(MASKS)))))
+    probes = _stacked(probes, ["__id", "__row"])
+    if lengths:
+        none = F.array().cast("array<struct<at:int,h:bigint>>")
+        slices = tokens.select("__id", "__row", F.explode(F.concat(*(F.coalesce(_whole_slices(w, n), none) for n in lengths))).alias("s"))
+        probes = probes.unionByName(slices.select("__id", "__row", F.col("s.at").alias("__at"), F.col("s.h").alias("__h")))
+    hits = probes.join(F.broadcast(seeds) if small else seeds, "__h")
+    spots = materialize(hits.select("__id", "__row", *name, (F.col("__at") - F.col("__p")).alias("__shift")).distinct(), "alignments")
+
+    found = spots.withColumnsRenamed({"__id": "__id2", "__row": "__row2"})
+    few = spots.limit(broadcast_rows + 1).count() <= broadcast_rows
+    whole = texts.join(F.broadcast(found) if few else found, (F.col("__row") == F.col("__row2")) & F.col("__id").eqNullSafe(F.col("__id2")))
+    near = whole.select("__id", "__item", "__ik", "__shift", words_of(F.col("__text")).alias("__w"))
+    near = near.withColumnsRenamed({"__item": "__item2", "__ik": "__ik2"})
+    near = near.join(items, (F.col("__ik") == F.col("__ik2")) & F.col("__item").eqNullSafe(F.col("__item2")))
+    near = near.withColumn("__text", F.slice("__w", F.greatest("__shift", F.lit(0)) + 1, F.col("__n") + F.least("__shift", F.lit(0))))
     lead = F.greatest(-F.col("__shift"), F.lit(0))
     part = F.slice("__iw", lead + 1, F.size("__text"))
     agree = F.size(F.filter(F.zip_with("__text", part, lambda a, b: a == b), lambda x: x))
-    out = near.join(items, near["__item"].eqNullSafe(items["__item"])).select(near["__id"], near["__item"], "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"))
+    out = near.select("__id", "__item", "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"))
     out = out.filter(F.when(F.col("__n") < SPAN, F.col("__m") == F.col("__n")).otherwise(F.col("__m") * den >= F.col("__n") * num))
     return out.select(
         F.col("__id").alias(id_col), F.col("__item").alias(item_col), F.greatest("__shift", F.lit(0)).cast("long").alias("word_start"),

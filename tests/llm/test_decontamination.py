@@ -1,5 +1,6 @@
 """Spaced seeds against brute force over all alignments."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -56,3 +57,22 @@ def test_runs_no_python(spark):
     docs, bench = docs_frame(spark, [(1, "a b")]), spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     plan = contaminated_spans(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_copy_within_four_fifths_is_found(spark):
+    """Verbatim at every offset, all sets of changed words that the rule allows, and copies cut by the text's ends."""
+    vocab = vocabulary(6, 4000)
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in range(8, 16)]
+    rows = []
+    for n, item in items:
+        w = item.split()
+        rows += [" ".join(vocab[:at] + w + vocab[50:53]) for at in range(10)]
+        rows += [" ".join(vocab[:3] + ["changed" if j in gone else x for j, x in enumerate(w)] + vocab[50:52]) for gone in itertools.combinations(range(n), n // 5)]
+        rows += [" ".join(w[1:] + vocab[:4]), " ".join(vocab[:4] + w[:-1]), " ".join(w[1:]), " ".join(w[:-1])]
+    rows = list(enumerate(rows))
+    cols = ["doc_id", "item_id", "word_start", "word_end", "matched", "item_words"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items)
+    assert {i for i, *_ in want} == {i for i, _ in rows}
+    for n in (500_000, 0):
+        assert {tuple(r) for r in contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select(cols).collect()} == want
