@@ -6,7 +6,10 @@ smallest (doc_id, offset) stays and the others are removed, reported with their
 Grouping combines on the map side and keeps only digests that occur twice; units then join that small side,
 where Spark's skew join may split a frequent line over many tasks.
 
-Units under `min_words` words are left alone: short lines recur in honest text.
+A repeated unit is reported if it has at least `min_words` words, or if it lies in a run of consecutive
+repeated units of one document that together have at least `run_words` words: a passage is judged by its own
+length, however it is wrapped. Lines without a word neither count nor break a run. Repeated units that reach
+neither length are left alone: short lines recur in honest text.
 
 Defined cases: null or empty text has no unit; a repeat inside one document counts; rows with equal
 identifier and equal offset are the same unit for the ranking, so repeated rows keep both copies of it; a null
@@ -20,15 +23,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import table
 
-MIN_WORDS = 20
+MIN_WORDS, RUN_WORDS = 20, 50
 SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-UNIT_SCHEMA = "doc_id long, start long, end long, n_words int, d1 long, d2 long"
+UNIT_SCHEMA = "doc_id long, start long, end long, n_words int, d1 long, d2 long, row long, no int"
 
 
 def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -42,30 +46,42 @@ def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """UNIT_SCHEMA, one row per unit."""
+    """UNIT_SCHEMA, one row per unit; row tells rows of docs apart within one run of the query, no numbers the units of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("row", pa.int64()), ("no", pa.int32())])
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in schema]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for start, end, n, digest in units_of(text.as_py() or "", min_words):
-                    for col, v in zip(out, (i, start, end, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
+                row += 1
+                for no, (start, end, n, digest) in enumerate(units_of(text.as_py() or "", min_words)):
+                    for col, v in zip(out, (i, start, end, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), row, no)):
                         col.append(v)
                 if len(out[0]) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                    out = [[], [], [], [], [], []]
+                    out = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, UNIT_SCHEMA)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The units to remove: `id_col`, start, end, n_words, keep_doc_id, keep_start."""
-    rows = units(docs, id_col, text_col, min_words)
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, run_words: int | None = None) -> DataFrame:
+    """The units to remove: `id_col`, start, end, n_words, keep_doc_id, keep_start.
+
+    MIN_WORDS and RUN_WORDS hold if neither length is given; min_words alone judges each line by itself.
+    """
+    if min_words is None:
+        min_words, run_words = MIN_WORDS, RUN_WORDS if run_words is None else run_words
+    rows = units(docs, id_col, text_col, min_words if run_words is None else 1)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("start"))
     kept = rows.groupBy("d1", "d2").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "k")
     hit = rows.join(kept, ["d1", "d2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("start") == F.col("k.start"))))
+    if run_words is not None:
+        # consecutive units keep the same distance between their number and their place among the repeated ones
+        hit = hit.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no")))
+        hit = hit.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")))
+        hit = hit.filter((F.col("n_words") >= min_words) | (F.col("run_words") >= run_words))
     return hit.select(
         F.col("doc_id").alias(id_col), "start", "end", "n_words", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.start").alias("keep_start")
     )
@@ -83,9 +99,9 @@ def remove_units(text: str | None, spans: list[tuple[int, int]]) -> tuple[str, l
     return "".join(text[a:b] for a, b in left), left
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, run_words: int | None = None) -> DataFrame:
     """docs with repeated units cut out of `text_col`, and `kept_spans`, the original offsets of what is left."""
-    spans = repeated_units(docs, id_col, text_col, min_words).groupBy(id_col).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    spans = repeated_units(docs, id_col, text_col, min_words, run_words).groupBy(id_col).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     spans = spans.withColumnRenamed(id_col, "__id")
     joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]), "left").drop("__id")
 

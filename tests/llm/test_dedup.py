@@ -135,3 +135,54 @@ def test_lines_equal_brute_force_and_text_is_cut(spark):
         assert cut[i]["text"] == (None if t is None else "".join(c for p, c in enumerate(t) if p not in gone))
         assert "".join((t or "")[s["start"] : s["end"]] for s in cut[i]["kept_spans"]) == (cut[i]["text"] or "")
     assert substring_dedup.repeated_units(docs_frame(spark, rows).limit(0)).count() == 0
+
+
+def run_brute(rows, min_words, run_words):
+    """Like line_brute for lines of any length, then by the words of each run of consecutive repeated lines."""
+    later = {u[:3] for u in line_brute(rows, 1)}
+    keep = {u[:2]: u for u in line_brute(rows, 1)}
+    out = []
+    for i, t in rows:
+        at, run = 0, []
+        for line in [*(t or "").split("\n"), "the end of the text"]:
+            unit, n = (i, at, at + len(line)), len(words(line))
+            if n and (unit not in later or at > len(t or "")):
+                out += [u for u, k in run if k >= min_words or sum(k for _, k in run) >= run_words]
+                run = []
+            elif n:
+                run.append((unit, n))
+            at += len(line) + 1
+    return sorted(keep[u[:2]] for u in out)
+
+
+def test_wrapped_passages_are_found_with_the_production_lengths(spark):
+    rng, vocab = random.Random(10), vocabulary(10, 3000)
+    rows, planted = [], []
+    for width in range(8, 20):
+        w = prose(rng, vocab, 51).split()
+        lines = [" ".join(w[a : a + width]) for a in range(0, 51, width)]
+        lines.insert(2, "")
+        for copy in range(3):
+            rows.append((len(rows), "\n".join([prose(rng, vocab, 9), *lines, prose(rng, vocab, 9)])))
+            planted += [(len(rows) - 1, x) for x in lines if x and copy]
+    short = [prose(rng, vocab, 12) for _ in range(4)]
+    rows += [(100, "\n".join(short)), (101, "\n".join(short)), (102, "\n".join([*short[:2], "own line", *short[2:]])), (103, "\n".join([*short, "two words"])), (104, "two words")]
+    rows += [(200, "\n".join([*short, "two words", prose(rng, vocab, 30)])), (None, rows[0][1]), (201, None), (202, "")]
+    got = sorted(map(tuple, substring_dedup.repeated_units(docs_frame(spark, rows)).select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start").collect()), key=str)
+    text = dict(rows)
+    named = [u for u in got if u[0] is not None]
+    assert {(i, text[i][a:b]) for i, a, b, *_ in named if i < 100} == set(planted)
+    assert {i for i, *_ in named if i >= 100} == {200}  # 48 words are too few; 50 with the line it shares with 103
+    assert sorted(named) == run_brute([r for r in rows if r[0] is not None], 20, 50)
+    assert len(got) - len(named) == len(rows[0][1].split("\n")) - 1
+    assert len(substring_dedup.without_repeats(docs_frame(spark, rows)).filter("doc_id = 1").first()["text"].split()) == 18
+
+
+def test_rows_of_the_sql_are_those_of_long_lines(spark):
+    import duckdb
+
+    from tests.conftest import DATA
+
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    got = substring_dedup.op8_substring_dedup(spark, DATA).filter("n_words >= 20").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.execute(substring_dedup.OP8_SQL).fetchall())
