@@ -10,7 +10,9 @@ boilerplate; its containers delimit slots, of which those under an article or ma
 hold more running text than links, are the host's main slots.
 
 Pass 2 reads every page again and takes the text of the main slots, without elements that are boilerplate by
-kind (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). Pages that lack their host's main slots, and hosts with
+kind (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) and
+without the template's text chunks, and inside article and main elements without blocks made of such chunks alone.
+Those stay only on a page of whose main text they make up more than half, as where a host's pages are copies of each other. Pages that lack their host's main slots, and hosts with
 too few pages for a template, fall back to their own article or main element, else to all that is left.
 
 Blocks are cut at block-level tags; character references are decoded, white space becomes one space, blocks
@@ -133,7 +135,7 @@ def page_tokens(page: str) -> dict[int, list[int]]:
 
 def main_text(page: str, slots: set[int], boilerplate: set[int]) -> str:
     """The text of a page: of its host's main slots, else of its own main element, else of what isn't boilerplate."""
-    found: list[list[tuple[int, str]]] = [[]]
+    found: list[list[tuple[int, str, bool]]] = [[]]
     for event, x in chunks(page):
         if event == "text":
             raw, stack, _ = x
@@ -141,16 +143,23 @@ def main_text(page: str, slots: set[int], boilerplate: set[int]) -> str:
             if boiler:
                 continue
             under = 2 if slots and any(p in slots for _, p, _, _ in stack) else 1 if main else 0
-            if not main and boilerplate and xxhash.xxh64_intdigest(f"{path}#{SPACE.sub(' ', raw).strip()}") >> 1 in boilerplate:
+            dealt = bool(boilerplate) and xxhash.xxh64_intdigest(f"{path}#{SPACE.sub(' ', raw).strip()}") >> 1 in boilerplate
+            if dealt and not main:
                 continue
-            found[-1].append((under, entities.unescape(raw)))
+            found[-1].append((under, entities.unescape(raw), dealt))
         elif event == "gap":
             if found[-1]:
-                found[-1].append((found[-1][-1][0], " "))
+                found[-1].append((found[-1][-1][0], " ", found[-1][-1][2]))
         elif event == "cut" and found[-1]:
             found.append([])
-    best = max((u for block in found for u, t in block if not t.isspace()), default=0)
-    texts = (SPACE.sub(" ", "".join(t for u, t in block if u >= best)).strip() for block in found)
+    # inside main only blocks that are template text throughout: a word between tags may recur by chance
+    whole = [all(x[2] or x[1].isspace() for x in block) for block in found]
+    shared = sum(len(SPACE.sub(" ", t).strip()) for block, w in zip(found, whole) if w for _, t, _ in block)
+    own = sum(len(SPACE.sub(" ", t).strip()) for block in found for u, t, _ in block if u)
+    if shared * 2 <= own:
+        found = [block for block, w in zip(found, whole) if not w]
+    best = max((u for block in found for u, t, _ in block if not t.isspace()), default=0)
+    texts = (SPACE.sub(" ", "".join(t for u, t, _ in block if u >= best)).strip() for block in found)
     return "\n\n".join(t for t in texts if t)
 
 

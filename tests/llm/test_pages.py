@@ -79,6 +79,17 @@ def test_extraction_keeps_the_article_only(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_template_text_inside_articles_goes_unless_the_page_is_a_copy(spark):
+    note = "<p>Get our <i>letter</i> every week</p><div>All rights of this text are ours</div>"
+    rows = [(i, f"http://notes/{i}", page(i, f"<p>Report {i} of the day, <b>long</b> enough {'to count ' * 9}as {i}</p>{note}<p>And {i}, <b>long</b> ago")) for i in range(6)]
+    rows += [(10 + i, f"http://copies/{i}", page(0, f"<p>The only article here{note}")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\n\nReport {i} of the day, long enough {'to count ' * 9}as {i}\n\nAnd {i}, long ago"
+    for i in range(10, 14):
+        assert got[i] == "Title 0\n\nThe only article here\n\nGet our letter every week\n\nAll rights of this text are ours"
+
+
 def test_templates_group_equal_vectors(spark):
     rows = [(i, "http://h/x", page(i, f"<p>{'word ' * i}")) for i in range(1, 5)]
     found = html_extract.templates(html_extract.host_tokens(pages(spark, rows), "page_id", "url", "html")).collect()
