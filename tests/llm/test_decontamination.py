@@ -76,3 +76,13 @@ def test_every_copy_within_four_fifths_is_found(spark):
     assert {i for i, *_ in want} == {i for i, _ in rows}
     for n in (500_000, 0):
         assert {tuple(r) for r in contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select(cols).collect()} == want
+
+
+def test_rows_that_share_an_identifier_are_told_apart(spark):
+    item = " ".join(f"w{j}" for j in range(15))
+    seed = " ".join([*item.split()[:8], *(f"x{j}" for j in range(7))])  # a hit at the same alignment that is no copy
+    rows = [(i, t) for i in (1, None) for t in (seed, item, seed + " z", item)]
+    bench = spark.createDataFrame([(1, item), (1, "another text under this identifier, of more than eight words"), (None, item)], "item_id long, text string")
+    for n in (500_000, 0):
+        got = contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select("doc_id", "item_id", "matched").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(i, b, 15) for i in (1, None) for b in (1, None)], key=str)
