@@ -67,6 +67,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+ROW_KEY = ["__file", "__at"]
+
+
+def row_keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns (all by default) with ROW_KEY, which names each row, whatever it holds, and is the same whenever it is evaluated.
+
+    Rows read straight from files are named by file and place; any other table is written once with numbers.
+    """
+    names = [f"`{c}`" for c in dict.fromkeys(columns or docs.columns)]
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
+        return docs.select(*names, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return materialize(docs.select(*names, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__at")), "keyed-rows", keep=True)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. `lower` has a fast path for ASCII, where both agree."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
@@ -95,3 +110,19 @@ def attach_group(rows: DataFrame, keys: Sequence[str], spread_by: Column, aggs:
     tops = runs.groupBy(*keys).agg(*(getattr(F, merge)(name).alias(name) for name, (_, merge) in aggs.items()))
     back = runs.select(*keys, "__run").join(tops, list(keys))
     return keyed.join(back, [*keys, "__run"]).drop("__run")
+
+
+HOT_KEYS = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows to groups, which has one row for each of some keys and the number `n` of its rows.
+
+    Keys that own more than 1/HOT_KEYS of the `total` rows are fewer than HOT_KEYS, so they are broadcast and their
+    rows aren't shuffled; no key of the rest owns more than that share.
+    """
+    limit = max(64, total // HOT_KEYS)
+    hot, cold = groups.filter(F.col(n) > limit), groups.filter(F.col(n) <= limit)
+    loud = rows.join(F.broadcast(hot), list(keys))
+    quiet = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys))
+    return loud.unionByName(quiet)

@@ -2,14 +2,15 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.llm import exact_dedup, near_dedup, substring_dedup
+from keystrata.llm import common, exact_dedup, near_dedup, substring_dedup
 from keystrata.llm.components import connected_components
-from tests.llm.util import LOWER, components, docs_frame, prose, shingles, vocabulary, words
+from tests.llm.util import LOWER, components, docs_frame, prose, shingles, vocabulary
 
 EDGES = [(900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (905, "one two"), (906, "One  TWO"), (907, "É É É É"), (908, "é é é é"), (909, "word " * 30_000)]
 
@@ -105,84 +106,102 @@ def test_exact_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def line_brute(rows, min_words):
-    found = []
-    for i, t in rows:
-        at = 0
-        for line in (t or "").split("\n"):
-            if len(words(line)) >= min_words:
-                found.append((" ".join(words(line)), i, at, at + len(line), len(words(line))))
-            at += len(line) + 1
-    first = {}
-    for u in sorted(found, key=lambda u: (u[1], u[2])):
-        first.setdefault(u[0], u)
-    return sorted((i, a, b, n, first[t][1], first[t][2]) for t, i, a, b, n in found if (i, a) != first[t][1:3])
-
-
-def test_lines_equal_brute_force_and_text_is_cut(spark):
+def unit_list(text):
+    """(start, end, words, normalised unit) of a text."""
+    out, last = [], None
+    for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or ""):
+        if not out or last.group()[-1] in ".!?" or "\n" in text[last.end() : m.start()]:
+            out.append([m.start(), m.end(), []])
+        out[-1][1] = m.end()
+        out[-1][2].append(m.group().translate(LOWER))
+        last = m
+    return [(a, b, len(w), " ".join(w)) for a, b, w in out]
+
+
+def repeats_brute(rows, run_words):
+    """(row, id, start, end, words, keep id, keep start) of each unit to remove."""
+    first, order = {}, sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0))
+    units = {r: unit_list(rows[r][1]) for r in order}
+    found = sorted(((rows[r][0] is None, rows[r][0] or 0, u[0], r, u) for r in order for u in units[r]), key=lambda x: x[:4])
+    for _, _, _, r, u in found:
+        first.setdefault(u[3], (r, u[0]))
+    out = []
+    for r in order:
+        run = []
+        for u in [*units[r], None]:
+            if u is not None and first[u[3]] != (r, u[0]):
+                run.append(u)
+                continue
+            if sum(x[2] for x in run) >= run_words:
+                out += [(rows[r][0], a, b, n, rows[first[t][0]][0], first[t][1]) for a, b, n, t in run]
+            run = []
+    return out
+
+
+def found(df):
+    return sorted(map(tuple, df.select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start").collect()), key=str)
+
+
+def test_repeats_equal_brute_force_and_text_is_cut(spark):
     rng, vocab = random.Random(9), vocabulary(9, 60)
-    common = [prose(rng, vocab, n) for n in (3, 6, 12, 40)]
-    rows = [(i, "\n".join(rng.choice([*common, prose(rng, vocab, 8), "", "É  x\ty"]) for _ in range(rng.randrange(6)))) for i in range(80)]
-    rows += [(500, None), (501, ""), (502, common[3].upper() + "  \n" + common[3])]
-    df = docs_frame(spark, rows).withColumn("start", F.lit(1)).withColumn("d1", F.lit(1))
-    got = substring_dedup.repeated_units(df, min_words=5).select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start").collect()
-    want = line_brute(rows, 5)
-    assert sorted(map(tuple, got)) == want
-    cut = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs_frame(spark, rows), min_words=5).collect()}
+    common = [prose(rng, vocab, n) + rng.choice([".", "!", "", "?"]) for n in (3, 6, 12, 40)]
+    bits = [*common, "", "É  x\ty."]
+    rows = [(i, "".join(rng.choice([*bits, prose(rng, vocab, 8)]) + rng.choice(["\n", " ", " \t", "\r\n"]) for _ in range(rng.randrange(6)))) for i in range(80)]
+    rows += [(500, None), (501, ""), (502, common[3].upper() + "  \n" + common[3]), (503, " \n\n .  "), (504, "É. " * 4000)]
+    df = docs_frame(spark, rows).withColumn("start", F.lit(1)).withColumn("d1", F.lit(1)).withColumn("__at", F.lit("x"))
+    for least in (1, 10):
+        assert found(substring_dedup.repeated_units(df, run_words=least)) == sorted(repeats_brute(rows, least), key=str)
+    want = repeats_brute(rows, 5)
+    cut = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs_frame(spark, rows), run_words=5).collect()}
     for i, t in rows:
-        spans = [(a, b) for d, a, b, *_ in want if d == i]
-        gone = {p for a, b in spans for p in range(a, min(b + 1, len(t)))}
-        assert cut[i]["text"] == (None if t is None else "".join(c for p, c in enumerate(t) if p not in gone))
-        assert "".join((t or "")[s["start"] : s["end"]] for s in cut[i]["kept_spans"]) == (cut[i]["text"] or "")
+        gone = {p for d, a, b, *_ in want if d == i for p in range(a, b)}
+        left = [p for s in cut[i]["kept_spans"] for p in range(s["start"], s["end"])]
+        assert not gone & set(left) and all((t or "")[p].isspace() for p in set(range(len(t or ""))) - gone - set(left))
+        assert cut[i]["text"] == (None if t is None else "".join(t[p] for p in left))
     assert substring_dedup.repeated_units(docs_frame(spark, rows).limit(0)).count() == 0
 
 
-def run_brute(rows, min_words, run_words):
-    """Like line_brute for lines of any length, then by the words of each run of consecutive repeated lines."""
-    later = {u[:3] for u in line_brute(rows, 1)}
-    keep = {u[:2]: u for u in line_brute(rows, 1)}
-    out = []
-    for i, t in rows:
-        at, run = 0, []
-        for line in [*(t or "").split("\n"), "the end of the text"]:
-            unit, n = (i, at, at + len(line)), len(words(line))
-            if n and (unit not in later or at > len(t or "")):
-                out += [u for u, k in run if k >= min_words or sum(k for _, k in run) >= run_words]
-                run = []
-            elif n:
-                run.append((unit, n))
-            at += len(line) + 1
-    return sorted(keep[u[:2]] for u in out)
-
-
-def test_wrapped_passages_are_found_with_the_production_lengths(spark):
+def test_rows_are_told_apart_by_place(spark):
+    line, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, line), (None, line), (None, other), (3, line + "\n" + other), (3, "mine"), (7, other), (7, other)]
+    got = substring_dedup.without_repeats(docs_frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", line), ("None", ""), ("None", ""), ("3", other), ("3", "mine"), ("7", ""), ("7", "")])
+    assert found(substring_dedup.repeated_units(docs_frame(spark, rows))) == sorted(repeats_brute(rows, 30), key=str)
+
+
+def test_passages_are_found_however_they_are_wrapped_or_embedded(spark):
     rng, vocab = random.Random(10), vocabulary(10, 3000)
-    rows, planted = [], []
-    for width in range(8, 20):
+
+    def sentences(n):
+        w, out = prose(rng, vocab, n).split(), []
+        while w:
+            k = rng.randrange(5, 11)
+            out.append(" ".join(w[:k]) + ".")
+            w = w[k:]
+        return out
+
+    rows, planted = [], set()
+    for width in range(8, 20):  # wrapped alike
         w = prose(rng, vocab, 51).split()
         lines = [" ".join(w[a : a + width]) for a in range(0, 51, width)]
         lines.insert(2, "")
         for copy in range(3):
+            planted |= {len(rows)} if copy else set()
             rows.append((len(rows), "\n".join([prose(rng, vocab, 9), *lines, prose(rng, vocab, 9)])))
-            planted += [(len(rows) - 1, x) for x in lines if x and copy]
-    short = [prose(rng, vocab, 12) for _ in range(4)]
-    rows += [(100, "\n".join(short)), (101, "\n".join(short)), (102, "\n".join([*short[:2], "own line", *short[2:]])), (103, "\n".join([*short, "two words"])), (104, "two words")]
-    rows += [(200, "\n".join([*short, "two words", prose(rng, vocab, 30)])), (None, rows[0][1]), (201, None), (202, "")]
-    got = sorted(map(tuple, substring_dedup.repeated_units(docs_frame(spark, rows)).select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start").collect()), key=str)
-    text = dict(rows)
-    named = [u for u in got if u[0] is not None]
-    assert {(i, text[i][a:b]) for i, a, b, *_ in named if i < 100} == set(planted)
-    assert {i for i, *_ in named if i >= 100} == {200}  # 48 words are too few; 50 with the line it shares with 103
-    assert sorted(named) == run_brute([r for r in rows if r[0] is not None], 20, 50)
-    assert len(got) - len(named) == len(rows[0][1].split("\n")) - 1
-    assert len(substring_dedup.without_repeats(docs_frame(spark, rows)).filter("doc_id = 1").first()["text"].split()) == 18
-
-
-def test_rows_of_the_sql_are_those_of_long_lines(spark):
-    import duckdb
-
-    from tests.conftest import DATA
-
-    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
-    got = substring_dedup.op8_substring_dedup(spark, DATA).filter("n_words >= 20").collect()
-    assert sorted(map(tuple, got)) == sorted(duckdb.execute(substring_dedup.OP8_SQL).fetchall())
+    for _ in range(12):  # in the middle of other sentences
+        passage = " ".join(sentences(rng.randrange(51, 120)))
+        for copy in range(3):
+            planted |= {len(rows)} if copy else set()
+            rows.append((len(rows), f"{prose(rng, vocab, 12)}. {prose(rng, vocab, 4)} {passage} {prose(rng, vocab, 5)}. {prose(rng, vocab, 9)}."))
+    short = sentences(20)
+    rows += [(900 + i, " ".join([prose(rng, vocab, 9) + ".", *short, prose(rng, vocab, 9) + "."])) for i in range(20)]
+    got = found(substring_dedup.repeated_units(docs_frame(spark, rows)))
+    assert {i for i, *_ in got} == planted
+    assert got == sorted(repeats_brute(rows, 30), key=str)
+
+
+def test_a_hot_line_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{line}\nown line number {i} . again") for i in range(300)]
+    assert found(substring_dedup.repeated_units(docs_frame(spark, rows))) == sorted(repeats_brute(rows, 30), key=str)
