@@ -13,7 +13,7 @@ from urllib.parse import urlparse
 import numpy as np
 
 U64 = np.uint64
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+_ALL, _ONES, _TOPS = (1 << 64) - 1, U64(0x0101010101010101), U64(0x8080808080808080)
 # _SEL[b, r]: place of the r-th one of byte b
 _SEL = np.zeros((256, 8), dtype=np.uint8)
 for _b in range(256):
@@ -31,9 +31,8 @@ def encode(values: np.ndarray, top: int, prefix: str) -> dict[str, np.ndarray]:
     ones = high + np.arange(n)
     words = np.zeros(bits // 64 + 1, dtype=U64)
     np.bitwise_or.at(words, ones >> 6, U64(1) << (ones & 63).astype(U64))
-    pop = _POP[words.view(np.uint8)].reshape(-1, 8).sum(axis=1, dtype=np.int64)
     rank = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum(pop, out=rank[1:])
+    np.cumsum(np.bitwise_count(words), out=rank[1:])
     low = v & U64((1 << low_bits) - 1)
     if low_bits > 56:
         packed = low
@@ -53,7 +52,6 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
         self.n, self.low_bits = (int(x) for x in arrays[f"{prefix}.head"])
         self.high, self.rank, self.packed = arrays[f"{prefix}.high"], arrays[f"{prefix}.rank"], arrays[f"{prefix}.low"]
-        self.bytes = self.high.view(np.uint8)
         self.zeros = np.arange(len(self.rank), dtype=np.int64) * 64 - self.rank
         if self.low_bits <= 56:
             self.window = np.lib.stride_tricks.as_strided(self.packed[:8].view(U64), shape=(len(self.packed) - 7,), strides=(1,))
@@ -66,15 +64,17 @@ class EliasFano:
         return (self.window[at >> 3] >> (at & 7).astype(U64)) & self.mask
 
     def _select(self, i: np.ndarray, counts: np.ndarray, flip: int) -> np.ndarray:
+        """Places of the i-th ones, or zeros with flip: the word by its count, then the byte by prefix sums within the word."""
         word = np.searchsorted(counts, i, side="right") - 1
-        left = i - counts[word]
-        eight = self.bytes.reshape(-1, 8)[word] ^ np.uint8(flip)
-        upto = np.cumsum(_POP[eight], axis=1, dtype=np.int64)
-        byte = (upto <= left[:, None]).sum(axis=1)
-        byte = np.minimum(byte, 7)
-        rows = np.arange(len(i))
-        inner = left - np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SEL[eight[rows, byte], inner]
+        left = (i - counts[word]).astype(U64)
+        x = self.high[word] ^ U64(flip)
+        s = x - ((x >> U64(1)) & U64(0x5555555555555555))
+        s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+        s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+        byte = np.bitwise_count((((left * _ONES) | _TOPS) - s) & _TOPS).astype(U64)
+        byte = np.minimum(byte, U64(7)) << U64(3)
+        inner = left - (((s << U64(8)) >> byte) & U64(255))
+        return word * 64 + (byte.astype(np.int64) + _SEL[((x >> byte) & U64(255)).astype(np.intp), np.minimum(inner, U64(7)).astype(np.intp)])
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -89,9 +89,9 @@ class EliasFano:
         most = int(self.zeros[-1]) - 1
         inside = h < most
         h = np.minimum(h, max(most - 1, 0))
-        hi = self._select(h, self.zeros, 255) - h
+        hi = self._select(h, self.zeros, _ALL) - h
         prev = np.maximum(h - 1, 0)
-        lo = np.where(h > 0, self._select(prev, self.zeros, 255) - prev, 0)
+        lo = np.where(h > 0, self._select(prev, self.zeros, _ALL) - prev, 0)
         lo = np.maximum(lo, begin)
         stop = hi = np.minimum(hi, self.n if end is None else end)
         want = x & self.mask

@@ -1,30 +1,35 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end per text. Three passes over whole
-texts, each an Arrow kernel:
+Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end per text. Passes over whole texts, each an
+Arrow kernel:
 
 1. Counts of all training tokens by 64-bit hash, summed by Spark; shards of the hash space become the first
    level: hashes as an Elias-Fano sequence, exact counts beside it. A word's id is its place.
-2. All training bigrams by id, reduced per task, dealt to shards by context; each shard merges its parts and
-   writes the second level: contexts, monotone pointers to their successor ranges, successors stored relative
-   to their context (each range continues from the last value of the range before, so the whole is one
-   monotone sequence), and one quantised smoothed probability each. A context with over a quarter of a
-   shard's tokens is cut by successor over many shards.
-3. Scoring: each worker maps the levels into memory, reads only the pages it needs, and looks up distinct
-   words and bigrams of a slice: the context's node, its pointer range, then the successor search within it.
-
-Model: p(w | v) = max(c(vw) - D, 0) / c(v) + D * successors(v) / c(v) * p(w), with absolute discount D and the
-stated unigram base p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). The first term is stored as a rounded-down
-logarithm of one byte, so the sum over words stays at most 1. Nothing is pruned, and nothing is collected but
-numbers per shard. Level files go to the shared scratch folder under temporary names, then are renamed.
+2. For each higher order up to ORDER, all training n-grams as (context, successor), reduced per slice and dealt to
+   shards by context; each shard merges its parts and writes its part of the level: contexts, monotone pointers
+   to their successor ranges, successors (each range continues from the last value of the range before, so the
+   whole is one monotone sequence), one quantised smoothed probability each and one quantised weight a context
+   leaves to the next shorter one. A context is the place of an n-gram in the level before. A successor of two words or more is
+   not stored as a word but relative to the shorter context: as its rank among the words that follow that one.
+   A context with over a quarter of a shard's tokens is cut by successor over up to PIECES shards.
+3. Scoring: each worker maps the levels into memory, reads only the pages it needs, and walks the orders
+   upwards for the distinct n-grams of a slice: the context's node, its pointer range, the successor search in it.
+
+Model: p(w | c) = max(n(cw) - D, 0) / n(c) + D * successors(c) / n(c) * p(w | c'), with absolute discount D, c' the context
+without its first word, and the stated unigram base p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). An unseen context leaves
+everything to the shorter one. Stored terms are rounded down, so the sum over words stays at most 1. Nothing
+is pruned, and nothing is collected but numbers per shard. Level files go to the shared scratch folder under
+temporary names, then are renamed.
 
 Defined cases: null counts as empty (one end token); repeated rows are separate; a null identifier is not
-held out; without training texts N = V = 0 and every token has probability 1; other columns are ignored.
+held out; without training texts N = V = 0 and every token has probability 1; 2^32 - 2 distinct words or more are refused;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +41,12 @@ from keystrata.llm import kernels as K
 from keystrata.llm.common import materialize, scratch_path, table
 from keystrata.llm.elias_fano import EliasFano, encode, map_file, pack, write_file
 
-DISCOUNT = 0.75
-WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 21, 4_000_000
+ORDER, DISCOUNT = 3, 0.75
+WORDS_A_SHARD, TOKENS_A_SHARD, PIECES = 1 << 21, 4_000_000, 64
 SLICE, HELD = 4 << 20, 2_000_000
+NONE = 0xFFFFFFFF  # a successor that no level holds
 END = K.U64(0x3C6EF372FE94F82B)  # the end token's hash
-LOG_FLOOR, LOG_STEPS = -10.0, 255
+LOG_FLOOR = -10.0
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,17 +125,19 @@ class Words:
 
 
 def shard_of(ctx: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each bigram: by context, and for hot contexts by successor too."""
+    """The shard of each n-gram: by context, and for hot contexts by successor too."""
     key = ctx.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)
-        key = key + np.where(hot[at] == ctx, (word & 63) + 1, 0).astype(K.U64)
+        key = key + np.where(hot[at] == ctx, word % PIECES + 1, 0).astype(K.U64)
     return (K.mix64(key) % K.U64(shards)).astype(np.int64)
 
 
 def word_level(counts: DataFrame, folder: str) -> dict:
     """Write the first level; returns its metadata."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    if distinct >= NONE - 1:
+        raise ValueError("more distinct words than 32-bit ids")
     bits = max(0, -(-distinct // WORDS_A_SHARD) - 1).bit_length()
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
@@ -149,7 +157,7 @@ def word_level(counts: DataFrame, folder: str) -> dict:
 
 
 def _blob(ctx: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-    """Sorted bigrams, delta-coded and compressed."""
+    """Sorted n-grams (context, successor, count), delta-coded and compressed."""
     first = np.ones(len(ctx), bool)
     first[1:] = ctx[1:] != ctx[:-1]
     at = np.flatnonzero(first)
@@ -187,186 +195,209 @@ def _once(key: str, make):
     return _models[key]
 
 
-def bigram_level(texts: DataFrame, counts: DataFrame, meta: dict, folder: str) -> dict:
-    """Write the second level; returns the metadata of the whole model."""
-    shards = max(1, -(-meta["tokens"] // TOKENS_A_SHARD))
-    limit = max(1, meta["tokens"] // (4 * shards))
-    loud = [r["h"] for r in counts.filter(F.col("c") > limit).select("h").collect()]  # under 4 * shards of them
-    words = Words(meta)
-    hot = np.sort(words.find(np.sort(np.array(loud, dtype=np.int64).view(K.U64)))[0])
-    start = meta["distinct"]  # the id of the place before a text
-    hot = np.append(hot, start)
-    meta = meta | {"shards": shards, "hot": hot.tolist(), "key": folder}
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = _once(f"{folder}#words", lambda: Words(meta))
-        keys, times, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            k, c = summed(keys, times)
-            ctx, word = (k >> K.U64(32)).astype(np.int64), (k & K.U64(0xFFFFFFFF)).astype(np.int64)
-            shard = shard_of(ctx, word, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, _blob(ctx[o], word[o], c[o])) for s in range(shards) if len(o := order[cut[s] : cut[s + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
-
-        for _, _, _, data, offsets in slices(batches, 0):
-            pair = bigrams(*tokens(data, offsets), level, start)[0]
-            k, c = np.unique(pair, return_counts=True)
-            keys.append(k)
-            times.append(c)
-            held += len(k)
-            if held > 2 * HELD:
-                yield out()
-                keys, times, held = [], [], 0
-        if keys:
-            yield out()
-
-    def build(key: tuple, rows: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        level = _once(f"{folder}#words", lambda: Words(meta))
-        keys, times = [], []
-        for blob in rows["blob"]:
-            ctx, word, c = _unblob(blob.as_py())
-            keys.append((ctx.astype(K.U64) << K.U64(32)) | word.astype(K.U64))
-            times.append(c)
-        k, c = summed(keys, times)
-        ctx, word = (k >> K.U64(32)).astype(np.int64), (k & K.U64(0xFFFFFFFF)).astype(np.int64)
-        first = np.ones(len(ctx), bool)
-        first[1:] = ctx[1:] != ctx[:-1]
-        at = np.flatnonzero(first)
-        node = ctx[at]
-        size = np.diff(np.append(at, len(ctx)))
-        last = word[np.append(at[1:], len(ctx)) - 1]
-        base = np.cumsum(last) - last
-        value = word + np.repeat(base, size)
-        context = np.repeat(level_counts(level, node, meta), size)
-        code = np.clip(np.floor((np.log10(np.maximum(c - DISCOUNT, 1e-12) / context) - LOG_FLOOR) / -LOG_FLOOR * LOG_STEPS), 0, LOG_STEPS).astype(np.uint8)
-        arrays = encode(node, meta["distinct"] + 1, "node") | encode(np.append(at, len(ctx)), len(ctx) + 1, "ptr") | encode(value, int(base[-1] + last[-1]) + 1, "succ") | {"code": code}
-        path = f"{folder}/bigrams-{shard:06d}"
-        write_file(path, pack(arrays))
-        loud = np.isin(node, hot)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "ctx": pa.array([node[loud]], pa.list_(pa.int64())), "n": pa.array([size[loud]], pa.list_(pa.int64()))})
-
-    parts = texts.mapInArrow(emit, "shard int, blob binary").groupBy("shard")
-    done = parts.applyInArrow(build, "shard int, path string, ctx array<long>, n array<long>").collect()  # a row a shard, with the hot contexts' sizes
-    files: list = [None] * shards
-    wide = dict.fromkeys(hot.tolist(), 0)
-    for r in done:
-        files[r["shard"]] = r["path"]
-        for v, n in zip(r["ctx"], r["n"]):
-            wide[v] += n
-    return meta | {"bigram_files": files, "hot_successors": [wide[v] for v in hot.tolist()]}
+def quantised(x: np.ndarray, kind: type) -> np.ndarray:
+    """Logarithms of x, at most 1, rounded down to codes of an unsigned type."""
+    steps = np.iinfo(kind).max
+    return np.clip(np.floor((np.log10(np.maximum(x, 1e-12)) / -LOG_FLOOR + 1) * steps), 0, steps).astype(kind)
 
 
-def level_counts(level: Words, ids: np.ndarray, meta: dict) -> np.ndarray:
-    """Exact counts of word ids; the place before a text occurs once a text."""
-    out = np.empty(len(ids), np.int64)
-    part = np.searchsorted(level.base, ids, side="right") - 1
-    for s in np.unique(part):
-        rows = np.flatnonzero((part == s) & (ids < meta["distinct"]))
-        if len(rows):
-            out[rows] = level.parts[s]["count"][ids[rows] - level.base[s]]
-    out[ids >= meta["distinct"]] = meta["texts"]
-    return out
+def powers(kind: type) -> np.ndarray:
+    """What each code stands for."""
+    steps = np.iinfo(kind).max
+    return 10.0 ** (LOG_FLOOR + np.arange(steps + 1) / steps * -LOG_FLOOR)
 
 
-def bigrams(h: np.ndarray, n: np.ndarray, level: Words, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: (context id << 32 | word id), the word's count, and whether both are known."""
-    u, inverse = np.unique(h, return_inverse=True)
-    ids, counts = level.find(u)
-    ids, counts = ids[inverse], counts[inverse]
-    ctx = np.empty_like(ids)
-    ctx[1:] = ids[:-1]
-    ctx[np.cumsum(n) - n] = start
-    known = (ids >= 0) & (ctx >= 0)
-    return (np.where(known, ctx, 0).astype(K.U64) << K.U64(32)) | np.where(known, ids, 0).astype(K.U64), counts, known & (ids >= 0)
+_POWER, _WEIGHT = powers(np.uint8), powers(np.uint16)
 
 
-class Trie:
-    """The mapped model."""
+class Level:
+    """One order's successors of all contexts, shard by shard."""
 
     def __init__(self, meta: dict):
-        self.meta, self.words = meta, Words(meta)
-        self.hot, self.wide = np.array(meta["hot"], np.int64), np.array(meta["hot_successors"], np.int64)
-        self.parts = [map_file(f) if f else None for f in meta["bigram_files"]]
-        self.seq = [tuple(EliasFano(p, k) for k in ("node", "ptr", "succ")) if p else None for p in self.parts]
-        self.power = 10.0 ** (LOG_FLOOR + np.arange(LOG_STEPS + 1) / LOG_STEPS * -LOG_FLOOR)
-
-    def lookup(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted share of the bigram, weight left to the base) for known contexts and words."""
-        share, successors = np.zeros(len(ctx)), np.zeros(len(ctx))
-        shard = shard_of(ctx, word, self.hot, len(self.seq))
+        self.hot, self.hot_left = np.array(meta["hot"], np.int64), np.array(meta["hot_left"])
+        self.base, self.files = np.array(meta["base"], np.int64), meta["files"]
+
+    def lookup(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(discounted share, weight left to the shorter context, place or -1, rank among the context's successors)."""
+        share, left = np.zeros(len(ctx)), np.ones(len(ctx))
+        place, rank = np.full(len(ctx), -1, np.int64), np.full(len(ctx), NONE, np.int64)
+        shard = shard_of(ctx, word, self.hot, len(self.files))
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(len(self.seq) + 1))
-        for s, seq in enumerate(self.seq):
+        cut = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
+        for s, file in enumerate(self.files):
             rows = order[cut[s] : cut[s + 1]]
-            if seq is None or not len(rows):
+            if file is None or not len(rows):
                 continue
-            node, ptr, succ = seq
-            nodes, inverse = np.unique(ctx[rows], return_inverse=True)
+            part, node, ptr, succ = open_level(file)
+            c = ctx[rows]
+            new = np.ones(len(c), bool)
+            new[1:] = c[1:] != c[:-1]
+            nodes, inverse = c[new], np.cumsum(new) - 1
             at = node.find(nodes.astype(K.U64))
             ok = at >= 0
             begin, end, base = (np.zeros(len(nodes), np.int64) for _ in range(3))
             begin[ok], end[ok] = ptr.access(at[ok]).astype(np.int64), ptr.access(at[ok] + 1).astype(np.int64)
             later = ok & (begin > 0)
             base[later] = succ.access(begin[later] - 1).astype(np.int64)
-            successors[rows] = (end - begin)[inverse]
-            b, e = begin[inverse], end[inverse]
-            place = succ.find((base[inverse] + word[rows]).astype(K.U64), b, e)
-            hit = place >= 0
-            share[rows[hit]] = self.power[self.parts[s]["code"][place[hit]]]
-        where = np.minimum(np.searchsorted(self.hot, ctx), len(self.hot) - 1)
-        loud = self.hot[where] == ctx
-        successors[loud] = self.wide[where[loud]]
-        count = level_counts(self.words, ctx, self.meta)
-        return share, np.where(count > 0, DISCOUNT * successors / np.maximum(count, 1), 1.0)
+            weight = np.ones(len(nodes))
+            weight[ok] = _WEIGHT[part["left"][at[ok]]]
+            left[rows] = weight[inverse]
+            found = succ.find((base[inverse] + word[rows]).astype(K.U64), begin[inverse], end[inverse])
+            hit = np.flatnonzero((found >= 0) & (word[rows] != NONE))
+            share[rows[hit]] = _POWER[part["code"][found[hit]]]
+            place[rows[hit]] = found[hit] + self.base[s]
+            rank[rows[hit]] = (found[hit] - begin[inverse[hit]]) * PIECES
+        if len(self.hot):
+            where = np.minimum(np.searchsorted(self.hot, ctx), len(self.hot) - 1)
+            loud = self.hot[where] == ctx
+            left[loud] = self.hot_left[where[loud]]
+            # ranks of a cut context count within its piece
+            rank = np.where(loud & (rank != NONE), rank + word % PIECES, rank)
+        return share, left, place, rank
+
+
+@lru_cache(maxsize=256)
+def open_level(file: str) -> tuple[dict, EliasFano, EliasFano, EliasFano]:
+    """A mapped shard of a level; the least recently used ones are let go."""
+    part = map_file(file)
+    return part, *(EliasFano(part, k) for k in ("node", "ptr", "succ"))
+
+
+class Trie:
+    """The mapped model, of as many levels as are built."""
+
+    def __init__(self, meta: dict):
+        self.meta, self.words, self.levels = meta, Words(meta), [Level(m) for m in meta["levels"]]
+
+    def walk(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list, tuple]:
+        """Counts of tokens; per level (tokens with a context, their share, their weight); the n-grams of the order after the last level.
+
+        The latter are distinct (context, successor, count), sorted. Of each order only distinct n-grams are looked up.
+        """
+        first = np.cumsum(n) - n
+        u, inverse = np.unique(h, return_inverse=True)
+        ids, counts = self.words.find(u)
+        ids, counts = ids[inverse], counts[inverse]
+        code = np.where(ids < 0, NONE, ids)
+        ctx = np.empty_like(ids)
+        ctx[1:] = ids[:-1]
+        ctx[first] = self.meta["distinct"]  # the place before a text
+        names = None  # the contexts that ctx numbers, in rising order
+        steps = []
+        for level in [*self.levels, None]:
+            rows = np.flatnonzero(ctx >= 0)
+            key = (ctx[rows].astype(K.U64) << K.U64(32)) | code[rows].astype(K.U64)
+            if level is None:
+                key = key[code[rows] != NONE]
+                key, times = np.unique(key, return_counts=True)
+            else:
+                key, inverse = np.unique(key, return_inverse=True)
+            c, w = (key >> K.U64(32)).astype(np.int64), (key & K.U64(NONE)).astype(np.int64)
+            c = c if names is None else names[c]
+            if level is None:
+                return counts, steps, (c, w, times)
+            share, left, place, rank = level.lookup(c, w)
+            steps.append((rows, share[inverse], left[inverse]))
+            names, number = np.unique(place, return_inverse=True)
+            if len(names) and names[0] < 0:
+                names, number = names[1:], number - 1
+            cell = np.full(len(ctx), -1, np.int64)
+            cell[rows] = number[inverse]
+            code = np.full(len(ctx), NONE, np.int64)
+            code[rows] = rank[inverse]
+            ctx = np.empty_like(cell)
+            ctx[1:] = cell[:-1]
+            ctx[first] = -1  # nothing precedes the place before a text
+        raise AssertionError
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per document: tokens, known tokens, base score, score."""
         h, n = tokens(data, offsets)
-        pair, counts, known = bigrams(h, n, self.words, self.meta["distinct"])
+        counts, steps, _ = self.walk(h, n)
         base = (counts + 0.5) / (self.meta["tokens"] + 0.5 * (self.meta["distinct"] + 1))
         p = base.copy()
-        u, inverse = np.unique(pair[known], return_inverse=True)
-        if len(u):
-            share, left = self.lookup((u >> K.U64(32)).astype(np.int64), (u & K.U64(0xFFFFFFFF)).astype(np.int64))
-            p[known] = share[inverse] + left[inverse] * base[known]
-        # an unknown word after a known context takes the base's share of what the context leaves
-        lost = np.flatnonzero(~known)
-        if len(lost):
-            before = np.concatenate([[False], counts[:-1] > 0])
-            before[np.cumsum(n) - n] = True
-            lost = lost[before[lost] & (counts[lost] == 0)]
-            if len(lost):
-                first = np.zeros(len(h), bool)
-                first[np.cumsum(n) - n] = True
-                hs, back = np.unique(h[np.maximum(lost - 1, 0)], return_inverse=True)
-                ctx = np.where(first[lost], self.meta["distinct"], self.words.find(hs)[0][back])
-                cs, back = np.unique(ctx, return_inverse=True)
-                p[lost] = base[lost] * self.left(cs)[back]
+        for rows, share, left in steps:
+            p[rows] = share + left * p[rows]
         at = np.cumsum(n) - n
         add = lambda x: np.add.reduceat(x, at)
         return n, add((counts > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
 
-    def left(self, ctx: np.ndarray) -> np.ndarray:
-        """The weight each known context leaves to the base."""
-        return self.lookup(ctx, np.zeros(len(ctx), np.int64))[1]
 
+def add_level(texts: DataFrame, meta: dict, hot: dict[int, int], folder: str) -> tuple[dict, dict[int, int]]:
+    """Write the next level; returns the grown metadata and the n-grams that are hot contexts of the level after.
 
-def fit(docs: DataFrame, id_col: str, text_col: str, trains: Column) -> dict:
-    """Build the trie over the rows of docs where `trains` holds; returns its metadata."""
+    hot: contexts of this level with over a quarter of a shard's tokens, and how often each occurs.
+    """
+    order = len(meta["levels"]) + 2
+    shards = max(1, -(-meta["tokens"] // TOKENS_A_SHARD))
+    limit = max(1, meta["tokens"] // (4 * shards))
+    names = np.array(sorted(hot), np.int64)
+    totals = np.array([hot[v] for v in names.tolist()], np.int64)
+    key = f"{meta['key']}#{order}"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _once(key, lambda: Trie(meta))
+        for _, _, _, data, offsets in slices(batches, 0):
+            ctx, word, c = trie.walk(*tokens(data, offsets))[2]
+            shard = shard_of(ctx, word, names, shards)
+            by = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[by], np.arange(shards + 1))
+            rows = [(s, _blob(ctx[o], word[o], c[o])) for s in range(shards) if len(o := by[cut[s] : cut[s + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
+
+    def build(group: tuple, rows: pa.Table) -> pa.Table:
+        shard = group[0].as_py()
+        parts = [_unblob(blob.as_py()) for blob in rows["blob"]]
+        node = np.unique(np.concatenate([np.unique(p[0]) for p in parts]))
+        k, c = summed([(np.searchsorted(node, p[0]).astype(K.U64) << K.U64(32)) | p[1].astype(K.U64) for p in parts], [p[2] for p in parts])
+        del parts
+        ctx, word = (k >> K.U64(32)).astype(np.int64), (k & K.U64(NONE)).astype(np.int64)
+        at = np.searchsorted(ctx, np.arange(len(node)))
+        size = np.diff(np.append(at, len(ctx)))
+        total = np.add.reduceat(c, at)
+        loud = np.isin(node, names)
+        total[loud] = totals[np.searchsorted(names, node[loud])]
+        last = word[np.append(at[1:], len(ctx)) - 1]
+        base = np.cumsum(last) - last
+        arrays = encode(node, int(node[-1]) + 1, "node") | encode(np.append(at, len(ctx)), len(ctx) + 1, "ptr") | encode(word + np.repeat(base, size), int(base[-1] + last[-1]) + 1, "succ")
+        arrays |= {"code": quantised((c - DISCOUNT) / np.repeat(total, size), np.uint8), "left": quantised(DISCOUNT * size / total, np.uint16)}
+        path = f"{folder}/grams{order}-{shard:06d}"
+        write_file(path, pack(arrays))
+        often = np.flatnonzero(c > limit)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (node[loud], size[loud], often, c[often])]
+        return pa.table([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(k)], pa.int64()), *lists], ["shard", "path", "n", "ctx", "wide", "often", "times"])
+
+    schema = "shard int, path string, n long, ctx array<long>, wide array<long>, often array<long>, times array<long>"
+    done = texts.mapInArrow(emit, "shard int, blob binary").groupBy("shard").applyInArrow(build, schema).collect()  # a row a shard, with its hot contexts
+    sizes, files, wide = [0] * shards, [None] * shards, dict.fromkeys(hot, 0)
+    for r in done:
+        sizes[r["shard"]], files[r["shard"]] = r["n"], r["path"]
+        for v, n in zip(r["ctx"], r["wide"]):
+            wide[v] += n
+    base = np.cumsum(sizes) - sizes
+    grown = {"hot": names.tolist(), "hot_left": [min(1.0, DISCOUNT * wide[v] / max(hot[v], 1)) if wide[v] else 1.0 for v in names.tolist()], "base": base.tolist(), "files": files}
+    then = {int(base[r["shard"]] + i): n for r in done for i, n in zip(r["often"], r["times"])}
+    return meta | {"levels": [*meta["levels"], grown]}, then
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, trains: Column, order: int = ORDER) -> dict:
+    """Build the trie of `order` words over the rows of docs where `trains` holds; returns its metadata."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "lm")
     texts = docs.filter(trains).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = materialize(token_counts(texts), "token-counts")
-    meta = word_level(counts, folder)
-    end = counts.filter(F.col("h") == int(K.signed(np.array([END]))[0])).first()
-    meta["texts"] = int(end["c"]) if end else 0  # every text has one end
+    meta = word_level(counts, folder) | {"key": folder, "levels": []}
     if not meta["tokens"]:
-        return meta | {"shards": 1, "hot": [0], "hot_successors": [0], "bigram_files": [None], "key": folder}
-    return bigram_level(texts, counts, meta, folder)
+        return meta
+    shards = max(1, -(-meta["tokens"] // TOKENS_A_SHARD))
+    loud = {r["h"]: r["c"] for r in counts.filter(F.col("c") > max(1, meta["tokens"] // (4 * shards))).collect()}  # under 4 * shards of them
+    h = np.sort(np.array(list(loud), dtype=np.int64).view(K.U64))
+    hot = {int(i): loud[int(x)] for i, x in zip(Words(meta).find(h)[0], K.signed(h))}
+    end = counts.filter(F.col("h") == int(K.signed(np.array([END]))[0])).first()
+    hot[meta["distinct"]] = int(end["c"])  # the place before a text: as many as there are ends
+    for _ in range(order - 1):
+        meta, hot = add_level(texts, meta, hot, folder)
+    return meta
 
 
 def scores(docs: DataFrame, meta: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,22 +34,29 @@ def test_pack_and_map(tmp_path):
     assert all((back[k] == v).all() and len(back[k]) == len(v) for k, v in arrays.items()) and len(list(tmp_path.iterdir())) == 1
 
 
-def expected(rows, trains):
+def expected(rows, trains, order=lm.ORDER):
     toks = [(i, words(t) + ["</s>"]) for i, t in rows]
-    c, b, ctx, n = collections.Counter(), collections.Counter(), collections.defaultdict(set), 0
+    c, grams, follow = collections.Counter(), collections.Counter(), collections.defaultdict(set)
     for i, w in toks:
         if trains(i):
-            n += 1
             c.update(w)
-            b.update(zip(["<s>", *w], w))
-    for v, w in b:
-        ctx[v].add(w)
+            w = ["<s>", *w]
+            for k in range(2, order + 1):
+                grams.update(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    seen = collections.Counter()
+    for g, n in grams.items():
+        follow[g[:-1]].add(g[-1])
+        seen[g[:-1]] += n
     total, distinct = sum(c.values()), len(c)
-    before = dict(c) | {"<s>": n}
     out = []
     for i, w in toks:
         base = [(c[x] + 0.5) / (total + 0.5 * (distinct + 1)) for x in w]
-        p = [max(b[(v, x)] - lm.DISCOUNT, 0) / before[v] + lm.DISCOUNT * len(ctx[v]) / before[v] * q if before.get(v) else q for v, x, q in zip(["<s>", *w], w, base)]
+        p, v = list(base), ["<s>", *w]
+        for k in range(2, order + 1):
+            for j, x in enumerate(w):
+                ctx = tuple(v[j + 2 - k : j + 1])
+                if j + 2 >= k and seen[ctx]:
+                    p[j] = max(grams[(*ctx, x)] - lm.DISCOUNT, 0) / seen[ctx] + lm.DISCOUNT * len(follow[ctx]) / seen[ctx] * p[j]
         out.append((i, len(w), sum(c[x] > 0 for x in w), total, sum(map(math.log10, base)), sum(map(math.log10, p))))
     return out
 
@@ -58,13 +65,13 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
 
-def check(spark, rows):
+def check(spark, rows, order=lm.ORDER):
     df = docs_frame(spark, rows).withColumn("n_tokens", F.lit("clash"))
-    got = lm.scores(df, lm.fit(df, "doc_id", "text", ~lm.held_out("doc_id"))).collect()
+    got = lm.scores(df, lm.fit(df, "doc_id", "text", ~lm.held_out("doc_id"), order)).collect()
     key = lambda r: (str(r[0]), r[1], round(r[4], 6))
-    got, want = sorted(map(tuple, got), key=key), sorted(expected(rows, lambda i: not held(i)), key=key)
+    got, want = sorted(map(tuple, got), key=key), sorted(expected(rows, lambda i: not held(i), order), key=key)
     assert len(got) == len(want)
-    step = -lm.LOG_FLOOR / lm.LOG_STEPS
+    step = -lm.LOG_FLOOR / 254
     for g, w in zip(got, want):
         assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-6
         assert w[5] - step * w[1] - 1e-6 <= g[5] <= w[5] + 1e-6  # shares are rounded down by less than a step
@@ -78,24 +85,37 @@ def test_model_equals_dictionaries(spark, monkeypatch):
     vocab = ["the"] * 200 + [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 60)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "The THE unseenword the"), (503, "É é unseen1 unseen2"), (503, "É é unseen1 unseen2"), (None, "w1 w2")]
-    check(spark, rows)
+    rows += [(600 + i, "the w1 the w1 the w2 the w3") for i in range(200)]  # word pairs as hot contexts
+    rows += [(900, "w5 " * 30_000), (901, "w6 w7 " * 2000)]
+    for order in (2, 3, 4):
+        check(spark, rows, order)
 
 
 def test_probabilities_sum_to_one_at_most(spark):
     rows = [(i, "a b a c a b d") for i in range(6) if not held(i)]
     df = docs_frame(spark, rows)
     trie = lm.Trie(lm.fit(df, "doc_id", "text", F.lit(True)))
-    texts = ["a a", "a b", "a c", "a d", "a zzz"]
-    data, offsets = lm.K.column_bytes(__import__("pyarrow").array(texts + ["a"]))
-    n, _, _, score = trie.score(data, offsets)
-    # p(x | a) for all words, the end and anything unknown, from differences of texts that share a start
-    h, counts = lm.tokens(data, offsets)
-    pair, c, known = lm.bigrams(h, counts, trie.words, trie.meta["distinct"])
-    share, left = trie.lookup((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    base = (c + 0.5) / (trie.meta["tokens"] + 0.5 * (trie.meta["distinct"] + 1))
-    second = np.cumsum(counts) - counts + 1
-    p = np.where(known, share + left * base, left[second[0]] * base)[second]
-    assert 0.9 < p.sum() <= 1 + 1e-9
+    n = np.array([3])
+    seen = [lm.tokens(*lm.K.column_bytes(__import__("pyarrow").array([w])))[0][0] for w in ("a", "b", "c", "d", "zzz")]
+    ctx = seen[:2]
+    p = []
+    for last in [*seen, lm.END]:
+        counts, steps, _ = trie.walk(np.array([*ctx, last], dtype=np.uint64), n)
+        q = (counts + 0.5) / (trie.meta["tokens"] + 0.5 * (trie.meta["distinct"] + 1))
+        for rows_, share, left in steps:
+            q[rows_] = share + left * q[rows_]
+        p.append(q[2])
+    assert 0.9 < sum(p) <= 1 + 1e-9  # p(x | a b) over all words, the end and anything unknown
+
+
+def test_repeated_texts_score_apart(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(vocab, 60)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts[:20])]
+    df = docs_frame(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in lm.scores(df, lm.fit(df, "doc_id", "text", F.lit(True))).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 300))
 
 
 def test_nothing_to_learn_from(spark):
