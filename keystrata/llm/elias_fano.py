@@ -15,7 +15,7 @@ import numpy as np
 U64 = np.uint64
 _ALL, _ONES, _TOPS = (1 << 64) - 1, U64(0x0101010101010101), U64(0x8080808080808080)
 # _SEL[b, r]: place of the r-th one of byte b
-_SEL = np.zeros((256, 8), dtype=np.uint8)
+_SEL = np.zeros((256, 8), dtype=U64)
 for _b in range(256):
     _ones = [i for i in range(8) if _b >> i & 1]
     _SEL[_b, : len(_ones)] = _ones
@@ -63,8 +63,11 @@ class EliasFano:
         at = i * self.low_bits
         return (self.window[at >> 3] >> (at & 7).astype(U64)) & self.mask
 
-    def _select(self, i: np.ndarray, counts: np.ndarray, flip: int) -> np.ndarray:
-        """Places of the i-th ones, or zeros with flip: the word by its count, then the byte by prefix sums within the word."""
+    def _select(self, i: np.ndarray, counts: np.ndarray, flip: int, after: bool = False):
+        """Places of the i-th ones, or zeros with flip: the word by its count, then the byte by prefix sums within the word.
+
+        after: also the places of the ones that follow them.
+        """
         word = np.searchsorted(counts, i, side="right") - 1
         left = (i - counts[word]).astype(U64)
         x = self.high[word] ^ U64(flip)
@@ -74,12 +77,28 @@ class EliasFano:
         byte = np.bitwise_count((((left * _ONES) | _TOPS) - s) & _TOPS).astype(U64)
         byte = np.minimum(byte, U64(7)) << U64(3)
         inner = left - (((s << U64(8)) >> byte) & U64(255))
-        return word * 64 + (byte.astype(np.int64) + _SEL[((x >> byte) & U64(255)).astype(np.intp), np.minimum(inner, U64(7)).astype(np.intp)])
+        bit = byte + _SEL[((x >> byte) & U64(255)).astype(np.intp), np.minimum(inner, U64(7)).astype(np.intp)]
+        place = word * 64 + bit.astype(np.int64)
+        if not after:
+            return place
+        rest = x & ~((U64(2) << bit) - U64(1))
+        then = word * 64 + np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            then[far] = self._select(i[far] + 1, counts, flip)
+        return place, then
+
+    def _value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return ((place - i).astype(U64) << U64(self.low_bits)) | self.low(i)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
-        high = self._select(i, self.rank, 0) - i
-        return (high.astype(U64) << U64(self.low_bits)) | self.low(i)
+        return self._value(self._select(i, self.rank, 0), i)
+
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places i and i + 1."""
+        a, b = self._select(i, self.rank, 0, True)
+        return self._value(a, i), self._value(b, i + 1)
 
     def find(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each value x within [begin, end), or -1: the bucket by its high part, then the successor in it."""
@@ -89,9 +108,10 @@ class EliasFano:
         most = int(self.zeros[-1]) - 1
         inside = h < most
         h = np.minimum(h, max(most - 1, 0))
-        hi = self._select(h, self.zeros, _ALL) - h
         prev = np.maximum(h - 1, 0)
-        lo = np.where(h > 0, self._select(prev, self.zeros, _ALL) - prev, 0)
+        a, b = self._select(prev, self.zeros, _ALL, True)  # the zeros around the bucket
+        hi = np.where(h > 0, b - h, a)
+        lo = np.where(h > 0, a - prev, 0)
         lo = np.maximum(lo, begin)
         stop = hi = np.minimum(hi, self.n if end is None else end)
         want = x & self.mask

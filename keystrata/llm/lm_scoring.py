@@ -236,14 +236,15 @@ class Level:
             at = node.find(nodes.astype(K.U64))
             ok = at >= 0
             begin, end, base = (np.zeros(len(nodes), np.int64) for _ in range(3))
-            begin[ok], end[ok] = ptr.access(at[ok]).astype(np.int64), ptr.access(at[ok] + 1).astype(np.int64)
+            if ok.any():
+                begin[ok], end[ok] = (x.astype(np.int64) for x in ptr.access_pairs(at[ok]))
             later = ok & (begin > 0)
             base[later] = succ.access(begin[later] - 1).astype(np.int64)
             weight = np.ones(len(nodes))
             weight[ok] = _WEIGHT[part["left"][at[ok]]]
             left[rows] = weight[inverse]
-            found = succ.find((base[inverse] + word[rows]).astype(K.U64), begin[inverse], end[inverse])
-            hit = np.flatnonzero((found >= 0) & (word[rows] != NONE))
+            found = successor(succ, (base[inverse] + word[rows]).astype(K.U64), begin[inverse], end[inverse], word[rows] != NONE)
+            hit = np.flatnonzero(found >= 0)
             share[rows[hit]] = _POWER[part["code"][found[hit]]]
             place[rows[hit]] = found[hit] + self.base[s]
             rank[rows[hit]] = (found[hit] - begin[inverse[hit]]) * PIECES
@@ -256,6 +257,18 @@ class Level:
         return share, left, place, rank
 
 
+def successor(succ: EliasFano, value: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value within its range, or -1; a range of one place is just compared."""
+    out = np.full(len(value), -1, np.int64)
+    size = np.where(wanted, end - begin, 0)
+    one = np.flatnonzero(size == 1)
+    same = one[succ.access(begin[one]) == value[one]]
+    out[same] = begin[same]
+    more = np.flatnonzero(size > 1)
+    out[more] = succ.find(value[more], begin[more], end[more])
+    return out
+
+
 @lru_cache(maxsize=256)
 def open_level(file: str) -> tuple[dict, EliasFano, EliasFano, EliasFano]:
     """A mapped shard of a level; the least recently used ones are let go."""
@@ -269,10 +282,10 @@ class Trie:
     def __init__(self, meta: dict):
         self.meta, self.words, self.levels = meta, Words(meta), [Level(m) for m in meta["levels"]]
 
-    def walk(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list, tuple]:
+    def walk(self, h: np.ndarray, n: np.ndarray, more: bool = True) -> tuple[np.ndarray, list, tuple]:
         """Counts of tokens; per level (tokens with a context, their share, their weight); the n-grams of the order after the last level.
 
-        The latter are distinct (context, successor, count), sorted. Of each order only distinct n-grams are looked up.
+        The latter, if asked for with more, are distinct (context, successor, count), sorted. Of each order only distinct n-grams are looked up.
         """
         first = np.cumsum(n) - n
         u, inverse = np.unique(h, return_inverse=True)
@@ -282,7 +295,7 @@ class Trie:
         ctx = np.empty_like(ids)
         ctx[1:] = ids[:-1]
         ctx[first] = self.meta["distinct"]  # the place before a text
-        names = None  # the contexts that ctx numbers, in rising order
+        names = None  # the contexts that ctx numbers, in rising order: lookups then sweep through a level
         steps = []
         for level in [*self.levels, None]:
             rows = np.flatnonzero(ctx >= 0)
@@ -298,11 +311,14 @@ class Trie:
                 return counts, steps, (c, w, times)
             share, left, place, rank = level.lookup(c, w)
             steps.append((rows, share[inverse], left[inverse]))
-            names, number = np.unique(place, return_inverse=True)
-            if len(names) and names[0] < 0:
-                names, number = names[1:], number - 1
+            if not more and level is self.levels[-1]:
+                return counts, steps, ()
+            by = np.argsort(place)
+            absent = np.searchsorted(place, 0, sorter=by)
+            names, number = place[by[absent:]], np.empty_like(by)
+            number[by] = np.arange(-absent, len(by) - absent)
             cell = np.full(len(ctx), -1, np.int64)
-            cell[rows] = number[inverse]
+            cell[rows] = np.maximum(number, -1)[inverse]
             code = np.full(len(ctx), NONE, np.int64)
             code[rows] = rank[inverse]
             ctx = np.empty_like(cell)
@@ -313,7 +329,7 @@ class Trie:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per document: tokens, known tokens, base score, score."""
         h, n = tokens(data, offsets)
-        counts, steps, _ = self.walk(h, n)
+        counts, steps, _ = self.walk(h, n, False)
         base = (counts + 0.5) / (self.meta["tokens"] + 0.5 * (self.meta["distinct"] + 1))
         p = base.copy()
         for rows, share, left in steps:
