@@ -67,7 +67,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
-ROW_KEY = ["__file", "__at"]
+ROW_KEY = ["__file", "__row"]
 
 
 def row_keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -78,8 +78,8 @@ def row_keyed(docs: DataFrame, *columns: str) -> DataFrame:
     names = [f"`{c}`" for c in dict.fromkeys(columns or docs.columns)]
     plan = docs._jdf.queryExecution().analyzed()
     if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
-        return docs.select(*names, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    return materialize(docs.select(*names, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__at")), "keyed-rows", keep=True)
+        return docs.select(*names, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return materialize(docs.select(*names, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row")), "keyed-rows", keep=True)
 
 
 def ascii_lower(col: Column) -> Column:

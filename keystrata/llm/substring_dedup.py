@@ -86,7 +86,7 @@ def _repeats(keyed: DataFrame, id_col: str, text_col: str, run_words: int) -> Da
         rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", *ROW_KEY)
         firsts = materialize(hits.groupBy("d1", "d2").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")), "first-units")
         later = join_groups(hits.drop("n"), firsts, ["d1", "d2"], "n", hits.count())
-        later = later.filter(~((F.col("__file") == F.col("k.__file")) & (F.col("__at") == F.col("k.__at")) & (F.col("start") == F.col("k.start"))))
+        later = later.filter(~((F.col("__file") == F.col("k.__file")) & (F.col("__row") == F.col("k.__row")) & (F.col("start") == F.col("k.start"))))
         # consecutive units keep the same distance between their number and their place among the repeated ones
         later = later.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("no")))
         later = later.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*ROW_KEY, "run"))).filter(F.col("run_words") >= run_words)

@@ -62,7 +62,7 @@ def test_near_edges(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (3, "x y")]
     df = docs_frame(spark, rows).withColumn("cid", F.lit("clash")).withColumn("bands", F.lit(1))
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(df).collect())
-    assert got == [("1", 3, "1", True), ("1", 3, "1", True), ("3", 1, "3", True), ("None", 0, "None", True), ("None", 3, "1", False)]
+    assert got == [("1", 3, "1", False), ("1", 3, "1", True), ("3", 1, "3", True), ("None", 0, "None", True), ("None", 3, "1", False)]
     assert near_dedup.near_duplicates(docs_frame(spark, rows).limit(0)).count() == 0
 
 
@@ -86,21 +86,30 @@ def test_components_of_a_long_chain(spark):
 @pytest.mark.parametrize("stays", ["min", "max"])
 def test_exact_equals_brute_force(spark, stays):
     rng = random.Random(1)
-    rows = [(i, rng.choice(["Aa", "aA", "b", "É", "é", "", None, "x y"])) for i in range(300)] + EDGES + [(5, "b"), (None, "b")]
+    rows = [(i, rng.choice(["Aa", "aA", "b", "É", "é", "", None, "x y"])) for i in range(300)] + EDGES + [(5, "b"), (5, "b"), (None, "b")]
     got = exact_dedup.exact_duplicates(docs_frame(spark, rows).withColumn("keep_id", F.lit(0)), stays=stays).collect()
     groups = {}
     for i, t in rows:
         groups.setdefault((t or "").translate(LOWER), []).append(i)
     pick = min if stays == "min" else max
-    want = []
+    want, stayed = [], set()
     for i, t in rows:
         n = (t or "").translate(LOWER)
         keep = pick(x for x in groups[n] if x is not None)
-        want.append((str(i), keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
+        want.append((str(i), keep, len(groups[n]), i == keep and n not in stayed, hashlib.sha256(n.encode()).hexdigest()))
+        stayed |= {n} if i == keep else set()  # of equal rows one stays
     assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == sorted(want)
     assert exact_dedup.exact_duplicates(docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_null_identifiers_share_no_key(spark):
+    rng, vocab = random.Random(3), vocabulary(3)
+    texts = [prose(rng, vocab, 40) for _ in range(12)]
+    rows = [(None, t) for t in texts] * 2 + [(None, texts[0] + " more")]
+    got = near_dedup.near_duplicates(docs_frame(spark, rows)).filter("kept").count()
+    assert got == 12 and near_dedup.near_duplicates(docs_frame(spark, rows)).count() == 25
+
+
 def test_exact_runs_no_python(spark):
     plan = exact_dedup.exact_duplicates(docs_frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
