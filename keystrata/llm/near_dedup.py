@@ -16,10 +16,10 @@
 A pair at the threshold shares no band with probability (1 - t^rows)^bands (3e-6 with the defaults at 0.85),
 and the sketch filter lies `z` standard deviations under the threshold. Everything that passes is exact.
 
-Defined cases: null text or no words: an empty set, linked with nothing; fewer than k words: the whole
-sequence is the one shingle; repeated identifiers are separate rows; a null identifier takes part, and its
-component is the smallest non-null identifier (null if there is none); empty table: empty result; other
-columns are ignored.
+Defined cases: null text or no words: an empty set, linked with nothing, and kept; fewer than k words: the whole
+sequence is the one shingle; repeated identifiers are separate rows, told apart by place, and one row of a component
+is kept; a null identifier takes part, and its component is the smallest non-null identifier (null if there is
+none); empty table: empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import kernels as K
-from keystrata.llm.common import attach_group, materialize, passing_tables, table
+from keystrata.llm.common import ROW_KEY, attach_group, materialize, passing_tables, row_keyed, table
 from keystrata.llm.components import connected_components
 
 ROWS, BANDS, SKETCH_BITS, WIDE_BITS = 8, 40, 512, 2048
 SAMPLES = ROWS * BANDS
 BLOCK = 2048
-SIG_SCHEMA = "doc_id long, n_shingles long, cid long, sketch binary, wide binary, bands array<long>"
+SIG_SCHEMA = "`__file` long, `__row` long, doc_id long, n_shingles long, cid long, sketch binary, wide binary, bands array<long>"
 
 _A = (K.seeded(SAMPLES, 11) & K.U64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (K.seeded(SAMPLES, 12) & K.U64(0xFFFFFFFF)).astype(np.uint32)
@@ -98,11 +98,11 @@ def most_odd_bits(num: int, den: int, z: float = 5.0) -> int:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """SIG_SCHEMA for each row of docs (doc_id, text)."""
+    """SIG_SCHEMA for each row of docs (ROW_KEY, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(1))
+            data, offsets = K.column_bytes(batch.column(3))
             for i, j in K.doc_chunks(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 low = K.lower_bytes(data[offsets[i] : offsets[j]])
@@ -129,8 +129,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     for at, s, v, b in zip(full, odd_sketch(sig), wides, key):
                         sketches[at], wide[at], bands[at] = s.tobytes(), v, b
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), K.list_array(bands)],
-                    ["doc_id", "n_shingles", "cid", "sketch", "wide", "bands"],
+                    [*(batch.column(c).slice(i, n) for c in range(3)), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), K.list_array(bands)],
+                    [*ROW_KEY, "doc_id", "n_shingles", "cid", "sketch", "wide", "bands"],
                 )
 
     return docs.mapInArrow(run, SIG_SCHEMA)
@@ -258,18 +258,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if den * |intersection| >= num * |union| of their distinct k-word shingles; a
     component takes the smallest identifier it holds. The default is five words and 0.8.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with passing_tables(docs.sparkSession):
-        out = materialize(_near_duplicates(slim, k, num, den), "near-duplicates", keep=True)
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return near_verdicts(row_keyed(docs, id_col, text_col), id_col, text_col, k, num, den).drop(*ROW_KEY).withColumnRenamed("doc_id", id_col)
+
+
+def near_verdicts(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """ROW_KEY, doc_id, n_shingles, component_id, kept of each row of `keyed`, which holds ROW_KEY."""
+    slim = keyed.select(*ROW_KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with passing_tables(keyed.sparkSession):
+        return materialize(_near_duplicates(slim, k, num, den), "near-duplicates", keep=True)
 
 
 def _near_duplicates(slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sig = materialize(signatures(slim, k), "sig")
     limit = most_odd_bits(num, den)
 
-    # classes of equal sets; sets too small to differ and still reach the threshold need no bands
-    picked = F.min(F.struct("doc_id", "n_shingles", "sketch", "wide", "bands"))
+    # classes of equal sets, each with the place of one of its texts; sets too small to differ and still reach the threshold need no bands
+    picked = F.min(F.struct(*ROW_KEY, "n_shingles", "sketch", "wide", "bands"))
     classes = sig.filter("cid is not null").groupBy("cid").agg(picked.alias("x")).select("cid", "x.*")
     classes = materialize(classes, "classes")
     least = -(-num // max(den - num, 1))
@@ -282,23 +286,23 @@ def _near_duplicates(slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
     else:
         comp = _linked(slim, classes, members, limit, k, num, den)
 
-    base = sig.select("doc_id", "n_shingles", "cid")
+    base = sig.select(*ROW_KEY, "doc_id", "n_shingles", "cid")
     if comp is not None:
         base = base.join(comp.select(F.col("node").alias("cid"), F.col("comp")), "cid", "left")
     else:
         base = base.withColumn("comp", F.lit(None).cast("long"))
-    base = base.select("doc_id", "n_shingles", F.coalesce("comp", "cid").alias("__comp"))
-    linked = attach_group(base.filter("__comp is not null"), ["__comp"], F.col("doc_id"), {"component_id": (F.min("doc_id"), "min")})
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(
-        base.filter("__comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    )
-    return out
+    base = base.select(*ROW_KEY, "doc_id", "n_shingles", F.coalesce("comp", "cid").alias("__comp"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *ROW_KEY)
+    linked = attach_group(base.filter("__comp is not null"), ["__comp"], F.hash(*ROW_KEY), {"__best": (F.min(first), "min")})
+    kept = (F.col("__file") == F.col("__best.__file")) & (F.col("__row") == F.col("__best.__row"))
+    out = linked.select(*ROW_KEY, "doc_id", "n_shingles", F.col("__best.doc_id").alias("component_id"), kept.alias("kept"))
+    return out.unionByName(base.filter("__comp is null").select(*ROW_KEY, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def _linked(slim: DataFrame, classes: DataFrame, members: DataFrame, limit: int, k: int, num: int, den: int) -> DataFrame:
     active = members.select("cid").distinct().join(classes, "cid")
     active = materialize(active, "active")
-    texts = slim.join(active.select("cid", "doc_id"), slim["doc_id"].eqNullSafe(active["doc_id"])).select("cid", "text")
+    texts = slim.join(active.select("cid", *ROW_KEY), ROW_KEY).select("cid", "text")
     sets = materialize(shingle_table(texts, k).dropDuplicates(["cid"]), "sets")
 
     # star links: each class with the two bucket heads most like it
