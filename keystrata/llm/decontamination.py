@@ -13,8 +13,8 @@ text, and must agree word for word.
 Words become 64-bit hashes first and positions are exploded without the text. If a count shows at most
 `broadcast_rows` seeds they are broadcast, and positions with no hit go before anything else is done; else
 both sides are shuffled by hash. Hits are reduced to (text, item, alignment) with map-side combination, so a
-passage that a third of all texts share is no hot group; their texts are then joined back by identifier and
-hash of the text, whole rows once.
+passage that a third of all texts share is no hot group; their texts are then joined back by the row's place,
+whole rows once.
 
 Defined cases: null texts or items, and those without words, are never contaminated or contaminating;
 repeated rows are reported once per (id, item, alignment); an empty table on either side gives an empty
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import ascii_lower, materialize, table
+from keystrata.llm.common import ROW_KEY, ascii_lower, materialize, row_keyed, table
 
 # Masks of span 8 and weight 5. Any floor(n / 5) changed words among n = 8 ... 15 leave one of them whole somewhere.
 MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 4, 6), (1, 2, 4, 6, 7), (0, 1, 2, 5, 7), (0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
@@ -71,6 +71,15 @@ def contaminated_spans(
     num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per text, item and alignment that overlap: `id_col`, `item_col`, word_start, word_end, matched, item_words."""
+    spans = contaminated_rows(row_keyed(docs, id_col, text_col), benchmark, id_col, text_col, item_col, item_text_col, num, den, broadcast_rows)
+    return spans.drop(*ROW_KEY).distinct()
+
+
+def contaminated_rows(
+    keyed: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """ROW_KEY and the columns of `contaminated_spans`, for each row of `keyed`, which holds ROW_KEY."""
     items = benchmark.select(F.col(item_col).alias("__item"), words_of(F.col(item_text_col)).alias("__iw")).filter(F.size("__iw") > 0)
     items = items.withColumn("__n", F.size("__iw")).withColumn("__ik", F.xxhash64("__iw")).dropDuplicates(["__item", "__ik"])
     name = ["__item", "__ik"]
@@ -83,37 +92,36 @@ def contaminated_spans(
     lengths = [r[0] for r in items.filter(F.col("__n") < SPAN).select("__n").distinct().collect()]  # at most SPAN - 1 values
 
     w = F.col("__w")
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__row"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
-    tokens = texts.select("__id", "__row", words_of(F.col("__text")).alias("__w"))
-    probes = _windows(tokens, "__w", ["__id", "__row"], 1)
+    texts = keyed.select(*ROW_KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    tokens = texts.select(*ROW_KEY, words_of(F.col("__text")).alias("__w"))
+    probes = _windows(tokens, "__w", ROW_KEY, 1)
     if small:
         # most positions hit nothing: they go before their seeds become rows
         keys = seeds.select("__h").distinct()
         for m in range(len(MASKS)):
             probes = probes.join(F.broadcast(keys.select(F.col("__h").alias(f"__h{m}"), F.lit(True).alias(f"__hit{m}"))), f"__h{m}", "left")
         probes = probes.filter(F.coalesce(*(F.col(f"__hit{m}") for m in range(len(MASKS)))))
-    probes = _stacked(probes, ["__id", "__row"])
+    probes = _stacked(probes, ROW_KEY)
     if lengths:
         none = F.array().cast("array<struct<at:int,h:bigint>>")
-        slices = tokens.select("__id", "__row", F.explode(F.concat(*(F.coalesce(_whole_slices(w, n), none) for n in lengths))).alias("s"))
-        probes = probes.unionByName(slices.select("__id", "__row", F.col("s.at").alias("__at"), F.col("s.h").alias("__h")))
+        slices = tokens.select(*ROW_KEY, F.explode(F.concat(*(F.coalesce(_whole_slices(w, n), none) for n in lengths))).alias("s"))
+        probes = probes.unionByName(slices.select(*ROW_KEY, F.col("s.at").alias("__at"), F.col("s.h").alias("__h")))
     hits = probes.join(F.broadcast(seeds) if small else seeds, "__h")
-    spots = materialize(hits.select("__id", "__row", *name, (F.col("__at") - F.col("__p")).alias("__shift")).distinct(), "alignments")
+    spots = materialize(hits.select(*ROW_KEY, *name, (F.col("__at") - F.col("__p")).alias("__shift")).distinct(), "alignments")
 
-    found = spots.withColumnsRenamed({"__id": "__id2", "__row": "__row2"})
     few = spots.limit(broadcast_rows + 1).count() <= broadcast_rows
-    whole = texts.join(F.broadcast(found) if few else found, (F.col("__row") == F.col("__row2")) & F.col("__id").eqNullSafe(F.col("__id2")))
-    near = whole.select("__id", "__item", "__ik", "__shift", words_of(F.col("__text")).alias("__w"))
+    whole = texts.join(F.broadcast(spots) if few else spots, ROW_KEY)
+    near = whole.select(*ROW_KEY, "__id", "__item", "__ik", "__shift", words_of(F.col("__text")).alias("__w"))
     near = near.withColumnsRenamed({"__item": "__item2", "__ik": "__ik2"})
     near = near.join(items, (F.col("__ik") == F.col("__ik2")) & F.col("__item").eqNullSafe(F.col("__item2")))
     near = near.withColumn("__text", F.slice("__w", F.greatest("__shift", F.lit(0)) + 1, F.col("__n") + F.least("__shift", F.lit(0))))
     lead = F.greatest(-F.col("__shift"), F.lit(0))
     part = F.slice("__iw", lead + 1, F.size("__text"))
     agree = F.size(F.filter(F.zip_with("__text", part, lambda a, b: a == b), lambda x: x))
-    out = near.select("__id", "__item", "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"))
+    out = near.select(*ROW_KEY, "__id", "__item", "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"))
     out = out.filter(F.when(F.col("__n") < SPAN, F.col("__m") == F.col("__n")).otherwise(F.col("__m") * den >= F.col("__n") * num))
     return out.select(
-        F.col("__id").alias(id_col), F.col("__item").alias(item_col), F.greatest("__shift", F.lit(0)).cast("long").alias("word_start"),
+        *ROW_KEY, F.col("__id").alias(id_col), F.col("__item").alias(item_col), F.greatest("__shift", F.lit(0)).cast("long").alias("word_start"),
         (F.greatest("__shift", F.lit(0)) + F.col("__len")).cast("long").alias("word_end"), F.col("__m").cast("long").alias("matched"), F.col("__n").cast("long").alias("item_words"),
     ).distinct()
 
