@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity filter, exact and near deduplication, decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns a DataFrame; all
-but the last return the columns of documents. Rows with a null doc_id can't be named by a later verdict and
-stay; rows that repeat an identifier share its verdict.
+but the last return the columns of documents. Verdicts are about rows, told apart by their place in docs:
+rows with null, equal or clashing identifiers are judged by their own text, and of equal rows one stays.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keystrata.llm import bpe, decontamination, exact_dedup, near_dedup, toxicity
-from keystrata.llm.common import materialize, table
+from keystrata.llm.common import ROW_KEY, materialize, row_keyed, table
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the identifiers in dropped; the columns of docs."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows in dropped; the columns of documents."""
+    return keyed.join(dropped.select(*ROW_KEY).distinct(), ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +27,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest identifier stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).filter("not kept"))
+    keyed = row_keyed(docs)
+    return _without(keyed, exact_dedup.exact_verdicts(keyed).filter("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a component of texts that share 0.8 or more of their five-word shingles one document stays."""
-    return _without(docs, near_dedup.near_duplicates(docs).filter("not kept"))
+    keyed = row_keyed(docs)
+    return _without(keyed, near_dedup.near_verdicts(keyed).filter("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return _without(docs, decontamination.contaminated_spans(docs, table(spark, sf_dir, "benchmark")))
+    keyed = row_keyed(docs)
+    return _without(keyed, decontamination.contaminated_rows(keyed, table(spark, sf_dir, "benchmark")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
