@@ -46,6 +46,21 @@ def test_stages_drop_what_is_planted_and_nothing_else(spark, tmp_path):
     assert sorted(r["ids_sha256"] for r in same.collect()) == sorted(r["ids_sha256"] for r in docs.collect())
 
 
+def test_verdicts_are_about_rows(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    build(path, spark)
+    rng, vocab = random.Random(9), vocabulary(9, 2000)
+    a, b, c, d = (prose(rng, vocab, 60) for _ in range(4))
+    bench = spark.read.parquet(f"{path}/benchmark.parquet").first()["text"]
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, d), (None, c + " tail"), (4, b + " " + bench), (None, d[:99] + " " + bench), (4, "own text")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).write.parquet(f"{path}/rows")
+    docs = spark.read.parquet(f"{path}/rows")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, path).write.parquet(f"{path}/rows-{name[:2]}")
+        docs = spark.read.parquet(f"{path}/rows-{name[:2]}")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == sorted([("1", a), ("2", b), ("3", c), ("None", d), ("4", "own text")])
+
+
 def test_empty_documents(spark, tmp_path):
     path = f"file://{tmp_path}"
     build(path, spark)
