@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("keystrata").getOrCreate()
-    store = Store(spark, args.store)
+    store = Store(spark, args.store, read_only=args.verb in ("get", "scan", "stats"))
     try:
         if args.verb == "put":
             store.put(args.key.encode(), args.value.encode())

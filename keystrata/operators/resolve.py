@@ -53,13 +53,13 @@ def union_runs(runs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
 
 
-def merge_runs(runs: DataFrame, drop_tombstones: bool, key: str = "key", order: str = "seq") -> DataFrame:
+def merge_runs(runs: DataFrame, drop_tombstones: bool, key: str | list[str] = "key", order: str = "seq") -> DataFrame:
     """K-way merge of runs: newest per key. Tombstones may be dropped only if nothing older is left out."""
     merged = newest_per_key(runs, key, order)
     return live(merged) if drop_tombstones else merged
 
 
-def shadowed_by(older: DataFrame, newer: DataFrame, key: str = "key") -> DataFrame:
+def shadowed_by(older: DataFrame, newer: DataFrame, key: str | list[str] = "key") -> DataFrame:
     """The rows of `older` that no row of `newer` shadows; a tombstone shadows too."""
     return older.join(newer.select(key), key, "left_anti")
 

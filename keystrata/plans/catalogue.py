@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.scalar import bloom_bits, level_budget, log_bytes, padded_key, size_bucket, user_bytes
 from keystrata.operators import compaction, lookup, resolve
+from keystrata.operators.separation import split_values
 from keystrata.plans.store import Options, Store
 
 K = {"key": "k", "order": "seq"}
@@ -97,11 +98,17 @@ def size_bucket_query(spark, sf):
 
 
 def compact_tiered_keep(spark, sf):
-    return resolve.merge_runs(run_rows(change_log(spark, sf).filter("run BETWEEN 3 AND 6")), False, **K).select("k", "seq", "op", "v")
+    """Every four neighbouring runs merged; what is older stays outside, so tombstones stay."""
+    rows = run_rows(change_log(spark, sf)).withColumn("merge", F.floor(F.col("run") / 4.0).cast("long"))
+    return resolve.merge_runs(rows, False, ["merge", "k"], "seq").select("merge", "k", "seq", "op", "v")
 
 
 def compact_tiered_drop(spark, sf):
-    return resolve.merge_runs(run_rows(change_log(spark, sf).filter("run <= 3")), True, **K).select("k", "seq", "v")
+    """The older half of all runs merged; nothing older is left out, so tombstones go."""
+    log = change_log(spark, sf)
+    half = log.agg(F.floor(F.max("run") / 2.0).alias("half"))
+    rows = run_rows(log).join(F.broadcast(half), F.col("run") <= F.col("half")).drop("half")  # one row is broadcast
+    return resolve.merge_runs(rows, True, **K).select("k", "seq", "v")
 
 
 def compact_all(spark, sf):
@@ -115,13 +122,15 @@ def pick_tiered(spark, sf):
 
 
 def level_overlap(spark, sf):
-    runs = run_rows(change_log(spark, sf).filter("run = 0")).groupBy("run").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    """Every run with the slots of ten users its key range meets: candidates by slot number, then the ranges compared."""
+    number = F.substring("k", 5, 12).cast("long")
+    runs = run_rows(change_log(spark, sf)).groupBy("run").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(number).alias("from"), F.max(number).alias("to"))
+    runs = runs.withColumn("slot", F.explode(F.sequence(F.floor(F.col("from") / 10.0), F.floor(F.col("to") / 10.0))))
     user = F.col("user_id")
     slots = table(spark, sf, "events").groupBy(F.floor(user / 10.0).cast("long").alias("slot")).agg(
         padded_key(F.min("user_id"), "user", 6).alias("slot_lo"), padded_key(F.max("user_id"), "user", 6).alias("slot_hi")
     )
-    one = F.broadcast(runs)  # one row
-    return slots.join(one, (slots["slot_hi"] >= runs["lo"]) & (slots["slot_lo"] <= runs["hi"])).select("run", "slot")
+    return runs.join(slots, "slot").filter((F.col("slot_hi") >= F.col("lo")) & (F.col("slot_lo") <= F.col("hi"))).select("run", "slot")
 
 
 def level_split(spark, sf):
@@ -130,19 +139,23 @@ def level_split(spark, sf):
 
 
 def level_budget_query(spark, sf):
-    runs = run_rows(change_log(spark, sf).filter("run BETWEEN 1 AND 9")).groupBy(F.col("run").alias("level")).agg(F.sum(F.octet_length("v")).cast("long").alias("bytes"))
+    """Bytes and budget of each level, with the runs dealt to nine levels."""
+    level = (F.pmod("run", F.lit(9)) + 1).alias("level")
+    runs = run_rows(change_log(spark, sf)).groupBy(level).agg(F.sum(F.octet_length("v")).cast("long").alias("bytes"))
     return runs.withColumn("budget", level_budget(F.col("level"), 64.0))
 
 
 def shadow_antijoin(spark, sf):
-    log = change_log(spark, sf)
-    older, newer = run_rows(log.filter("run = 0")), log.filter("run BETWEEN 1 AND 2")
-    return resolve.shadowed_by(older, newer, "k").select("k", "seq", "v")
+    """The rows of every run that neither of the next two runs shadows."""
+    older = run_rows(change_log(spark, sf))
+    newer = older.select("k", F.explode(F.array(F.col("run") - 1, F.col("run") - 2)).alias("run"))
+    return resolve.shadowed_by(older, newer, ["run", "k"]).select("run", "k", "seq", "v")
 
 
 def orphans(spark, sf):
+    """Runs on disk that the manifest doesn't name, had it lost every fourth one."""
     listed = change_log(spark, sf).select("run").distinct()
-    return listed.join(listed.filter("run <> 4"), "run", "left_anti")
+    return listed.join(listed.filter("run % 4 <> 0"), "run", "left_anti")
 
 
 def user_wal_bytes(spark, sf):
@@ -170,8 +183,10 @@ def throughput_lag(spark, sf):
 
 
 def value_separation(spark, sf):
-    size = F.octet_length("text").cast("long")
-    return table(spark, sf, "documents").select("doc_id", F.when(size >= 1024, 1).otherwise(0).alias("separated"), size.alias("len"))
+    log = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("seq"), F.lit(0).alias("op"), F.col("text").alias("value"))
+    _, run = split_values(log, 1, 1024)
+    size = F.coalesce(F.col("vref.len"), F.octet_length("value")).cast("long")
+    return run.select(F.col("key").alias("doc_id"), F.col("vref").isNotNull().cast("int").alias("separated"), size.alias("len"))
 
 
 def pointer_deref(spark, sf):
@@ -189,13 +204,16 @@ def gc_live_dead(spark, sf):
 
 
 def snapshot_asof(spark, sf):
-    return resolve.as_of(change_log(spark, sf), F.col("run") <= 4, **K).select("k", "v")
+    """The live view when half of the runs were there."""
+    log = change_log(spark, sf)
+    half = log.agg(F.floor(F.max("run") / 2.0).alias("half"))
+    return resolve.as_of(log.join(F.broadcast(half)), F.col("run") <= F.col("half"), **K).select("k", "v")  # one row is broadcast
 
 
 def recover_two_logs(spark, sf):
-    log = change_log(spark, sf)
-    both = log.filter("run = 8").withColumn("src", F.lit(0)).unionByName(log.filter("run = 9").withColumn("src", F.lit(1)))
-    return resolve.newest_per_key(both, "k", ["src", "seq"]).select("k", "op", "v")
+    """Every even run as a sealed log and the odd one after it as the active log, recovered together."""
+    log = change_log(spark, sf).withColumn("pair", F.floor(F.col("run") / 2.0).cast("long")).withColumn("src", F.pmod("run", F.lit(2)))
+    return resolve.newest_per_key(log, ["pair", "k"], ["src", "seq"]).select("pair", "k", "op", "v")
 
 
 def bloom_sizing(spark, sf):
@@ -229,7 +247,10 @@ def _store_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def built_store(spark: SparkSession, sf: str, options: Options | None = None, loads: int = 4) -> Store:
     """A store loaded from events in a few bulk batches, under the shared scratch folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keystrata-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="keystrata-")
     path = f"{base}/store-{uuid.uuid4().hex}"
     store = Store(spark, path, options or Options(min_merge=3, value_threshold=8))
     log = _store_log(spark, sf)
@@ -319,19 +340,19 @@ WITH_KV = {
     "run_flush": "SELECT run, k, seq, op, v FROM runlatest",
     "run_stats": "SELECT * FROM size",
     "size_bucket": "SELECT run, CAST(floor(ln(CAST(bytes AS DOUBLE)) / ln(2.0)) AS BIGINT) AS bucket FROM size",
-    "compact_tiered_keep": "SELECT k, seq, op, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r FROM runlatest WHERE run BETWEEN 3 AND 6) t WHERE r = 1",
-    "compact_tiered_drop": "SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r FROM runlatest WHERE run <= 3) t WHERE r = 1 AND op = 0",
+    "compact_tiered_keep": "SELECT merge, k, seq, op, v FROM (SELECT *, CAST(floor(run / 4.0) AS BIGINT) AS merge, row_number() OVER (PARTITION BY CAST(floor(run / 4.0) AS BIGINT), k ORDER BY seq DESC) r FROM runlatest) t WHERE r = 1",
+    "compact_tiered_drop": "SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r FROM runlatest WHERE run <= (SELECT floor(max(run) / 2.0) FROM kv)) t WHERE r = 1 AND op = 0",
     "compact_all": "SELECT k, seq, v FROM latest WHERE op = 0",
     "pick_tiered": """, s AS (SELECT run, CAST(floor(ln(CAST(sum(CASE WHEN mod(run, 5) = 2 THEN 1 ELSE 9 END) AS DOUBLE)) / ln(2.0)) AS BIGINT) AS bucket FROM runlatest GROUP BY run),
       i AS (SELECT run, bucket, CAST(row_number() OVER (ORDER BY run DESC) - row_number() OVER (PARTITION BY bucket ORDER BY run DESC) AS BIGINT) AS island FROM s)
       SELECT bucket, island, CAST(count(*) AS BIGINT) AS n, min(run) AS oldest, max(run) AS newest FROM i GROUP BY bucket, island HAVING count(*) >= 2""",
     "level_overlap": """, s AS (SELECT run, min(k) lo, max(k) hi FROM runlatest GROUP BY run), d AS (SELECT CAST(floor(user_id / 10.0) AS BIGINT) AS slot,
       concat('user', lpad(CAST(min(user_id) AS VARCHAR), 6, '0')) lo, concat('user', lpad(CAST(max(user_id) AS VARCHAR), 6, '0')) hi FROM events GROUP BY 1)
-      SELECT s.run, d.slot FROM s JOIN d ON NOT (d.hi < s.lo OR d.lo > s.hi) WHERE s.run = 0""",
+      SELECT s.run, d.slot FROM s JOIN d ON NOT (d.hi < s.lo OR d.lo > s.hi)""",
     "level_split": "SELECT k, CAST(floor((cum - 1) / 1000.0) AS BIGINT) AS file_no FROM (SELECT k, sum(9 + octet_length(encode(k)) + octet_length(encode(v))) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum FROM latest WHERE op = 0) t",
-    "level_budget": "SELECT run AS level, CAST(sum(octet_length(encode(v))) AS BIGINT) AS bytes, CAST(64 * power(2.0, run - 1) AS BIGINT) AS budget FROM runlatest WHERE run BETWEEN 1 AND 9 GROUP BY run",
-    "shadow_antijoin": "SELECT o.k, o.seq, o.v FROM runlatest o WHERE o.run = 0 AND NOT EXISTS (SELECT 1 FROM runlatest n WHERE n.run BETWEEN 1 AND 2 AND n.k = o.k)",
-    "orphans": "SELECT DISTINCT run FROM kv EXCEPT SELECT DISTINCT run FROM kv WHERE run <> 4",
+    "level_budget": "SELECT mod(run, 9) + 1 AS level, CAST(sum(octet_length(encode(v))) AS BIGINT) AS bytes, CAST(64 * power(2.0, mod(run, 9)) AS BIGINT) AS budget FROM runlatest GROUP BY mod(run, 9)",
+    "shadow_antijoin": "SELECT o.run, o.k, o.seq, o.v FROM runlatest o WHERE NOT EXISTS (SELECT 1 FROM runlatest n WHERE n.k = o.k AND (n.run = o.run + 1 OR n.run = o.run + 2))",
+    "orphans": "SELECT DISTINCT run FROM kv WHERE mod(run, 4) = 0",
     "user_wal_bytes": "SELECT CAST(sum(octet_length(encode(k)) + octet_length(encode(v))) AS BIGINT) AS user_bytes, CAST(sum(9 + octet_length(encode(k)) + octet_length(encode(v))) AS BIGINT) AS wal_bytes, CAST(sum(1 - op) AS BIGINT) AS writes, CAST(sum(op) AS BIGINT) AS deletes FROM kv",
     "write_amp": "SELECT round(CAST((SELECT sum(9 + octet_length(encode(k)) + octet_length(encode(v))) FROM kv) AS DOUBLE) / CAST((SELECT sum(octet_length(encode(k)) + octet_length(encode(v))) FROM kv) AS DOUBLE), 6) AS wal_amp",
     "space_amp": "SELECT k, CAST(count(*) AS BIGINT) AS versions, CAST(count(*) - 1 AS BIGINT) AS shadowed FROM kv GROUP BY k",
@@ -339,8 +360,8 @@ WITH_KV = {
     "throughput_lag": "SELECT run, writes - lag(writes) OVER (ORDER BY run) AS delta FROM (SELECT run, CAST(sum(1 - op) AS BIGINT) AS writes FROM kv GROUP BY run) t",
     "pointer_deref": "SELECT l.k, e.props AS v FROM latest l JOIN events e ON e.event_id = l.seq WHERE l.op = 0",
     "gc_live_dead": "SELECT CAST(sum(octet_length(encode(kv.v))) AS BIGINT) AS before_bytes, CAST(sum(CASE WHEN l.k IS NOT NULL THEN octet_length(encode(kv.v)) ELSE 0 END) AS BIGINT) AS after_bytes FROM kv LEFT JOIN latest l ON l.k = kv.k AND l.seq = kv.seq AND l.op = 0 WHERE kv.op = 0",
-    "snapshot_asof": "SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r FROM kv WHERE run <= 4) t WHERE r = 1 AND op = 0",
-    "recover_two_logs": "SELECT k, op, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY src DESC, seq DESC) r FROM (SELECT k, op, v, seq, 0 AS src FROM kv WHERE run = 8 UNION ALL SELECT k, op, v, seq, 1 AS src FROM kv WHERE run = 9) u) t WHERE r = 1",
+    "snapshot_asof": "SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r FROM kv WHERE run <= (SELECT floor(max(run) / 2.0) FROM kv)) t WHERE r = 1 AND op = 0",
+    "recover_two_logs": "SELECT pair, k, op, v FROM (SELECT k, op, v, CAST(floor(run / 2.0) AS BIGINT) AS pair, row_number() OVER (PARTITION BY CAST(floor(run / 2.0) AS BIGINT), k ORDER BY mod(run, 2) DESC, seq DESC) r FROM kv) t WHERE r = 1",
     "bloom_sizing": "SELECT run, CAST(ceil(-CAST(records AS DOUBLE) * ln(0.01) / (ln(2.0) * ln(2.0))) AS BIGINT) AS bits FROM size",
     "key_history": "SELECT k, seq, lag(seq) OVER w AS previous, lead(seq) OVER w AS next FROM kv WINDOW w AS (PARTITION BY k ORDER BY seq)",
     "level_read_order": "SELECT run, level, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -run ELSE 0 END, min_key, run) AS place FROM (SELECT *, CASE WHEN mod(run, 4) = 0 THEN 0 ELSE 1 END AS level FROM size) t",

@@ -39,6 +39,8 @@ class Options:
     file_bytes: int = 128 << 20
     keep_versions: int = 3
     auto_compact: bool = True
+    run_filters: bool = True
+    orphan_grace: float = 24 * 3600.0  # seconds that an unnamed file is spared, since another writer may be about to commit it
 
     @property
     def first_level_bytes(self) -> int:
@@ -71,7 +73,7 @@ class Counters:
 class Store:
     """One store directory, on any file system Spark can write."""
 
-    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, version: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, version: int | None = None, read_only: bool = False):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
         if self.options.strategy not in ("tiered", "leveled"):
             raise ValueError("strategy is tiered or leveled")
@@ -81,13 +83,28 @@ class Store:
         self._buffer: dict[bytes, tuple[int, int, bytes]] = {}
         self._pending: list[tuple[int, bytes, bytes]] = []
         self._buffered = 0
-        self.read_only = version is not None
-        self.manifest = self.manifests.read(version) or Manifest()
+        self.read_only = read_only or version is not None
+        self.manifest = self.manifests.read(version) or self._bootstrap()
         if not self.read_only:
-            if self.manifest.version:
-                self.vacuum()
+            self.vacuum(self.options.orphan_grace)
+        if version is None:
             self._recover()
 
+    def _bootstrap(self) -> Manifest:
+        """A manifest rebuilt from the runs on disk, newest content first; an empty one if there are none.
+
+        Runs are taken whole and on level 0: rows carry their write numbers, so neither order nor level decides
+        what is newest. Runs without Spark's success mark were never finished and are left out.
+        """
+        names = [n for n in files.names(self.spark, f"{self.path}/runs") if files.exists(self.spark, f"{self.path}/runs/{n}/_SUCCESS")]
+        if not names:
+            return Manifest()
+        runs = [r for n in names for r in describe(self.spark, f"{self.path}/runs/{n}", n, 0) if r.records]
+        gens = tuple(sorted(sequence_of(n) or 0 for n in files.names(self.spark, f"{self.path}/values")))
+        top = max((r.max_seq for r in runs), default=0)
+        found = Manifest(next_seq=top + 1, next_run=max(sequence_of(n) or 0 for n in names) + 1, flushed_seq=top, generation=max(gens, default=1), generations=gens, runs=tuple(runs)).ordered()
+        return found if self.read_only else self.manifests.commit(found)
+
     # -- writing ---------------------------------------------------------------------------------
 
     def put(self, key: bytes, value: bytes, sync: bool = True) -> None:
@@ -136,7 +153,7 @@ class Store:
             self.sync()
             rows = [(k, s, op, v) for k, (s, op, v) in self._buffer.items()]
             upto = self.manifest.next_seq - 1
-            self._publish(self.spark.createDataFrame(rows, CHANGE_LOG), flushed_seq=upto)
+            self._publish(self.spark.createDataFrame(rows, CHANGE_LOG), expected=len(rows), flushed_seq=upto)
             self._buffer, self._buffered = {}, 0
             self._drop_log(upto)
             if self.options.auto_compact:
@@ -165,19 +182,19 @@ class Store:
             self.manifest = replace(self.manifest, next_seq=top + 1)
             done = self.manifest.batches | ({batch: self.manifest.version + 1} if batch is not None else {})
             parts = max(1, -(-first["b"] // self.options.file_bytes))
-            self._publish(newest_per_key(shifted), parts, flushed_seq=top, batches=done)
+            self._publish(newest_per_key(shifted), parts, first["n"], flushed_seq=top, batches=done)
             if self.options.auto_compact:
                 self.compact()
             return True
 
-    def _publish(self, rows: DataFrame, parts: int = 1, **changes) -> None:
-        """Values first, then the run, then the manifest."""
-        run = self._write_run(rows, 0, parts)
+    def _publish(self, rows: DataFrame, parts: int = 1, expected: int | None = None, **changes) -> None:
+        """Values first, then the run and its filter, then the manifest."""
+        run = self._write_run(rows, 0, parts, expected)
         self.counters.flushes += 1
         self.counters.flush_bytes += sum(r.bytes for r in run)
         self.manifest = self.manifests.commit(replace(self.manifest, runs=(*run, *self.manifest.runs), **changes))
 
-    def _write_run(self, rows: DataFrame, level: int, parts: int, separate: bool = True, split: bool = False) -> list[RunInfo]:
+    def _write_run(self, rows: DataFrame, level: int, parts: int, expected: int | None = None, separate: bool = True, split: bool = False) -> list[RunInfo]:
         name = f"{run_name(self.manifest.next_run)}-{uuid.uuid4().hex[:8]}"  # another writer may use the number too
         path = f"{self.path}/runs/{name}"
         gen = self.manifest.generation
@@ -191,8 +208,11 @@ class Store:
                 if size[0]:
                     self.counters.value_bytes += size[1]
                     self.manifest = replace(self.manifest, generations=tuple(sorted({*self.manifest.generations, gen})))
-        write_run(rows, path, parts)
-        return describe(self.spark, path, name, level, split)
+        write_run(rows, path, parts, -(-expected // parts) if expected else None)
+        new = describe(self.spark, path, name, level, split)
+        if self.options.run_filters:
+            self._build_filters([r for r in new if r.records])
+        return new
 
     # -- reading ---------------------------------------------------------------------------------
 
@@ -240,7 +260,13 @@ class Store:
     def multi_get(self, keys: list[bytes] | DataFrame) -> DataFrame:
         """(key, value) of all live keys among `keys`, in one job."""
         wanted = keys if isinstance(keys, DataFrame) else keys_frame(self.spark, keys)
-        return self._finish(multi_get(self.log_frame(), wanted))
+        runs = list(self.manifest.runs)
+        if isinstance(keys, DataFrame):
+            ends = wanted.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+            runs = [r for r in runs if ends["lo"] is not None and r.max_key >= bytes(ends["lo"]) and r.min_key <= bytes(ends["hi"])]
+        else:
+            runs = [r for r in runs if any(may_hold(r, k) and self._might_contain(r, k) for k in keys)]
+        return self._finish(multi_get(self.log_frame(runs), wanted))
 
     def scan(self, start: bytes, end: bytes) -> DataFrame:
         """start <= key < end, ascending."""
@@ -264,11 +290,12 @@ class Store:
 
     def build_filters(self) -> None:
         """Write a Bloom filter beside every run that lacks one; point reads then skip runs by it."""
+        self._build_filters([r for r in self.manifest.runs if not files.exists(self.spark, f"{self.path}/filters/{r.name}.bloom")])
+
+    def _build_filters(self, runs: list[RunInfo]) -> None:
         files.make_dirs(self.spark, f"{self.path}/filters")
-        for run in self.manifest.runs:
-            path = f"{self.path}/filters/{run.name}.bloom"
-            if not files.exists(self.spark, path):
-                RunFilter.build(read_runs(self.spark, [run]), "key", run.records).save(self.spark, path)
+        for run in runs:
+            RunFilter.build(read_runs(self.spark, [run]), "key", run.records).save(self.spark, f"{self.path}/filters/{run.name}.bloom")
             self._filters.pop(run.name, None)
 
     def set_bloom_enabled(self, on: bool) -> None:
@@ -301,7 +328,7 @@ class Store:
         merged = merge_runs(read_runs(self.spark, picked), drop)
         size = sum(r.bytes for r in picked)
         target = self.options.level_file_bytes if level else self.options.file_bytes
-        new = self._write_run(merged, level, max(1, -(-size // target)), separate=False, split=level > 0)
+        new = self._write_run(merged, level, max(1, -(-size // target)), sum(r.records for r in picked), separate=False, split=level > 0)
         new = [r for r in new if r.records]
         self.counters.compactions += 1
         self.counters.compaction_bytes += sum(r.bytes for r in new)
@@ -318,20 +345,29 @@ class Store:
             rows = live(newest_per_key(read_runs(self.spark, runs)))
             full = dereference(rows, self.values_frame()).select("key", "seq", "op", "value")
             self.manifest = replace(self.manifest, generation=self.manifest.generation + 1, generations=())
-            new = self._write_run(full, 0, max(1, -(-sum(r.bytes for r in runs) // self.options.file_bytes)))
+            new = self._write_run(full, 0, max(1, -(-sum(r.bytes for r in runs) // self.options.file_bytes)), sum(r.records for r in runs))
             self.counters.compactions += 1
             self.manifest = self.manifests.commit(replace(self.manifest, runs=tuple(r for r in new if r.records)))
 
-    def vacuum(self) -> list[str]:
-        """Delete manifests beyond the retained versions, then runs and values none of these name."""
+    def vacuum(self, grace: float = 0.0) -> list[str]:
+        """Delete manifests beyond the retained versions, then runs, values and filters none of these name.
+
+        What changed in the last `grace` seconds is spared: a writer elsewhere may be about to commit it. Without
+        any manifest nothing goes.
+        """
+        self._writable()
         self.manifests.forget(self.options.keep_versions)
         kept = [self.manifests.read(v) for v in self.manifests.versions()]
+        if not kept:
+            return []
+        ages = {kind: files.ages(self.spark, f"{self.path}/{kind}") for kind in ("runs", "values", "filters", "manifests")}
         live_runs = {r.name.split(".")[0] for m in kept for r in m.runs}
-        gone = [f"runs/{n}" for n in orphans(self.spark, f"{self.path}/runs", live_runs)]
         live_gens = {g for m in kept for g in m.generations}
-        gone += [f"values/{n}" for n in files.names(self.spark, f"{self.path}/values") if sequence_of(n) not in live_gens]
-        gone += [f"filters/{n}" for n in files.names(self.spark, f"{self.path}/filters") if n.removesuffix(".bloom").split(".")[0] not in live_runs]
-        gone += [f"manifests/{n}" for n in files.names(self.spark, f"{self.path}/manifests") if n.endswith(".tmp")]
+        gone = [("runs", n) for n in orphans(self.spark, f"{self.path}/runs", live_runs)]
+        gone += [("values", n) for n in ages["values"] if sequence_of(n) not in live_gens]
+        gone += [("filters", n) for n in ages["filters"] if n.removesuffix(".bloom").split(".")[0] not in live_runs]
+        gone += [("manifests", n) for n in ages["manifests"] if n.endswith(".tmp")]
+        gone = [f"{kind}/{n}" for kind, n in gone if ages[kind].get(n, 0.0) >= grace]
         for n in gone:
             files.delete(self.spark, f"{self.path}/{n}")
         return gone
@@ -362,7 +398,7 @@ class Store:
 
     def _writable(self) -> None:
         if self.read_only:
-            raise PermissionError("a store opened at a version is read-only")
+            raise PermissionError("a store opened at a version or for reading is read-only")
 
     # -- measurement -----------------------------------------------------------------------------
 

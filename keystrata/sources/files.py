@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -32,6 +34,13 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder)))
 
 
+def ages(spark: SparkSession, folder: str) -> dict[str, float]:
+    """Seconds since each name in a folder was last changed, by this machine's clock."""
+    if not exists(spark, folder):
+        return {}
+    return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in _fs(spark, folder).listStatus(_path(spark, folder))}
+
+
 def size(spark: SparkSession, path: str) -> int:
     return _fs(spark, path).getContentSummary(_path(spark, path)).getLength() if exists(spark, path) else 0
 

@@ -1,6 +1,7 @@
 """The store against its contract: durability, snapshots, compaction, value separation, recovery."""
 
 import os
+import shutil
 import random
 
 import pytest
@@ -195,14 +196,62 @@ def test_concurrent_commit_is_refused(spark, store_path):
         two.flush()
 
 
-def test_orphans_are_removed_on_open(spark, store_path):
+def test_old_orphans_are_removed_on_open_and_fresh_ones_spared(spark, store_path):
     s = Store(spark, store_path, quiet())
     s.put(b"a", b"1")
     s.flush()
-    stray = f"{local(store_path)}/runs/run-999999"
+    stray, fresh = (f"{local(store_path)}/runs/run-99999{i}" for i in (8, 9))
     os.makedirs(stray)
+    os.makedirs(fresh)
+    os.utime(stray, (0, 0))
     again = Store(spark, store_path, quiet())
-    assert not os.path.exists(stray) and contents(again) == {b"a": b"1"}
+    assert not os.path.exists(stray) and os.path.exists(fresh) and contents(again) == {b"a": b"1"}
+
+
+def test_an_open_during_a_flush_takes_nothing_away(spark, store_path, monkeypatch):
+    s = Store(spark, store_path, quiet())
+    s.put(b"a", b"1")
+    s.flush()
+    s.put(b"b", b"2")
+    commit = s.manifests.commit
+
+    def opened_in_between(manifest):
+        assert contents(Store(spark, store_path, quiet())) == {b"a": b"1", b"b": b"2"}  # from the log
+        assert contents(Store(spark, store_path, read_only=True)) == {b"a": b"1", b"b": b"2"}
+        return commit(manifest)
+
+    monkeypatch.setattr(s.manifests, "commit", opened_in_between)
+    s.flush()
+    assert contents(s) == contents(Store(spark, store_path, quiet())) == {b"a": b"1", b"b": b"2"}
+
+
+def test_a_lost_manifest_is_rebuilt_from_the_runs(spark, store_path):
+    s = Store(spark, store_path, quiet(value_threshold=20))
+    for value in (b"1", b"2" * 40):
+        s.put(b"a", value)
+        s.put(b"b", b"3")
+        s.flush()
+    s.delete(b"b")
+    s.flush()
+    shutil.rmtree(f"{local(store_path)}/manifests")
+    assert contents(Store(spark, store_path, read_only=True)) == {b"a": b"2" * 40}
+    again = Store(spark, store_path, quiet(value_threshold=20))
+    again.put(b"c", b"4")
+    again.flush()
+    assert contents(again) == contents(Store(spark, store_path, quiet())) == {b"a": b"2" * 40, b"c": b"4"}
+
+
+def test_multi_get_reads_only_runs_that_may_hold_a_key(spark, store_path):
+    s = Store(spark, store_path, quiet())
+    for part in (b"a", b"m", b"z"):
+        s.put(part + b"1", b"v")
+        s.put(part + b"9", b"v")
+        s.flush()
+    got = s.multi_get([b"m1", b"m5"])
+    assert {bytes(r["key"]) for r in got.collect()} == {b"m1"} and len(got.inputFiles()) == 1
+    frame = spark.createDataFrame([(b"z0",), (b"z9",), (None,)], "key binary")
+    assert {bytes(r["key"]) for r in s.multi_get(frame).collect()} == {b"z9"}
+    assert s.multi_get([]).count() == s.multi_get(frame.limit(0)).count() == 0
 
 
 def test_bloom_on_and_off_agree_and_skip(spark, store_path):
