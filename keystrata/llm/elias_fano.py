@@ -38,8 +38,8 @@ def encode(values: np.ndarray, top: int, prefix: str) -> dict[str, np.ndarray]:
         packed = low
     else:
         packed = np.zeros((n * low_bits + 7) // 8 + 8, dtype=np.uint8)
-        for a in range(0, n, 1 << 20):  # eight values fill low_bits whole bytes
-            part = low[a : a + (1 << 20)]
+        for a in range(0, n, 1 << 15):  # eight values fill low_bits whole bytes
+            part = low[a : a + (1 << 15)]
             shifted = (part[:, None] >> np.arange(low_bits, dtype=U64)) & U64(1) if low_bits else np.zeros((len(part), 0), U64)
             got = np.packbits(shifted.astype(np.uint8).ravel(), bitorder="little")
             packed[a * low_bits // 8 : a * low_bits // 8 + len(got)] = got

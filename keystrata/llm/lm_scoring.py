@@ -42,8 +42,8 @@ from keystrata.llm.common import materialize, scratch_path, table
 from keystrata.llm.elias_fano import EliasFano, encode, map_file, pack, write_file
 
 ORDER, DISCOUNT = 3, 0.75
-WORDS_A_SHARD, TOKENS_A_SHARD, PIECES = 1 << 21, 4_000_000, 64
-SLICE, HELD = 4 << 20, 2_000_000
+WORDS_A_SHARD, TOKENS_A_SHARD, PIECES = 1 << 21, 3_000_000, 64
+SLICE, HELD = 4 << 20, 1_000_000
 NONE = 0xFFFFFFFF  # a successor that no level holds
 END = K.U64(0x3C6EF372FE94F82B)  # the end token's hash
 LOG_FLOOR = -10.0
@@ -235,15 +235,23 @@ class Level:
             nodes, inverse = c[new], np.cumsum(new) - 1
             at = node.find(nodes.astype(K.U64))
             ok = at >= 0
-            begin, end, base = (np.zeros(len(nodes), np.int64) for _ in range(3))
+            begin, end, base, first = (np.zeros(len(nodes), np.int64) for _ in range(4))
             if ok.any():
                 begin[ok], end[ok] = (x.astype(np.int64) for x in ptr.access_pairs(at[ok]))
-            later = ok & (begin > 0)
-            base[later] = succ.access(begin[later] - 1).astype(np.int64)
+            later = np.flatnonzero(ok & (begin > 0))
+            base[later], first[later] = (x.astype(np.int64) for x in succ.access_pairs(begin[later] - 1))
+            start = np.flatnonzero(ok & (begin == 0))
+            first[start] = succ.access(begin[start])
+            first -= base
             weight = np.ones(len(nodes))
             weight[ok] = _WEIGHT[part["left"][at[ok]]]
             left[rows] = weight[inverse]
-            found = successor(succ, (base[inverse] + word[rows]).astype(K.U64), begin[inverse], end[inverse], word[rows] != NONE)
+            w, known = word[rows], word[rows] != NONE
+            found = np.full(len(rows), -1, np.int64)
+            one = np.flatnonzero(known & (w == first[inverse]) & (end > begin)[inverse])
+            found[one] = begin[inverse[one]]  # the first of the range
+            more = np.flatnonzero(known & (w > first[inverse]) & (end > begin + 1)[inverse])
+            found[more] = succ.find((base[inverse[more]] + w[more]).astype(K.U64), begin[inverse[more]] + 1, end[inverse[more]])
             hit = np.flatnonzero(found >= 0)
             share[rows[hit]] = _POWER[part["code"][found[hit]]]
             place[rows[hit]] = found[hit] + self.base[s]
@@ -257,18 +265,6 @@ class Level:
         return share, left, place, rank
 
 
-def successor(succ: EliasFano, value: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted value within its range, or -1; a range of one place is just compared."""
-    out = np.full(len(value), -1, np.int64)
-    size = np.where(wanted, end - begin, 0)
-    one = np.flatnonzero(size == 1)
-    same = one[succ.access(begin[one]) == value[one]]
-    out[same] = begin[same]
-    more = np.flatnonzero(size > 1)
-    out[more] = succ.find(value[more], begin[more], end[more])
-    return out
-
-
 @lru_cache(maxsize=256)
 def open_level(file: str) -> tuple[dict, EliasFano, EliasFano, EliasFano]:
     """A mapped shard of a level; the least recently used ones are let go."""
