@@ -6,11 +6,14 @@ is the normalised gap-weighted subsequence kernel of order 3: every common subse
 counts, damped by DECAY for each place it spans, so gaps and inserted characters lower a match only a little.
 The machine's value of a sentence is the largest over its segments, of a text the largest over its sentences.
 
+Two neighbouring words that together spell a witness ("id iot") are a segment, too.
+
 Training is on a bounded sample of labelled texts (MAX_TOXIC and MAX_CLEAN rows, by hash of the identifier,
 texts of at most MAX_TEXT bytes). Labels belong to texts, so witness segments are chosen first: those whose
-share of toxic texts is significantly larger than of clean ones. Witnesses and the commonest clean segments
+share of toxic texts is significantly larger than of clean ones, counting texts that are copies of each other once. Witnesses, witnesses spoiled by an
+inserted character, and the commonest clean segments
 are landmarks; a squared-hinge machine is fitted on the landmark map, and refitted with the clean segments it
-rates highest. The expansion over landmarks is linear in subsequence space, so it is folded into one weight
+rates highest. The logistic curve is fitted to the texts' largest values, and to those of toxic texts with spoiled witnesses. The expansion over landmarks is linear in subsequence space, so it is folded into one weight
 per three-character subsequence: scoring is exact, and independent of the number of landmarks. A logistic
 curve over the largest value gives the score.
 
@@ -26,20 +29,23 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm import kernels as K
 from keystrata.llm.bpe import texts_of
 from keystrata.llm.common import table
 
 DECAY, CODES, WINDOW = 0.7, 64, 18
 MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 1500, 2500, 32_768
 LANDMARKS, MEMO = 256, 300_000
-ROUNDS, MINUS, RIDGE = 5, 8.0, 3e-5
+ROUNDS, MINUS, RIDGE, VARIANTS = 5, 8.0, 3e-5, 6
 OUTER = string.punctuation + "«»“”„‘’…–—¡¿"
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,2}){3,}\S(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -114,8 +120,8 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 class Machine:
     """The fitted model: a weight per subsequence, a bias and the logistic curve; or a constant score."""
 
-    def __init__(self, weight: np.ndarray | None = None, bias: float = 0.0, slope: float = 0.0, shift: float = 0.0, constant: float = 0.5):
-        self.weight, self.bias, self.slope, self.shift, self.constant = weight, bias, slope, shift, constant
+    def __init__(self, weight: np.ndarray | None = None, bias: float = 0.0, slope: float = 0.0, shift: float = 0.0, constant: float = 0.5, witnesses: frozenset[str] = frozenset()):
+        self.weight, self.bias, self.slope, self.shift, self.constant, self.witnesses = weight, bias, slope, shift, constant, witnesses
 
     def values(self, words: list[str]) -> np.ndarray:
         """The machine's value of each segment; under three characters: the bias."""
@@ -141,6 +147,25 @@ def vectors(words: list[str], place: np.ndarray, dense: np.ndarray) -> np.ndarra
     return out
 
 
+def distinct_texts(bags: list[set[str]]) -> list[int]:
+    """Bags that share no band of six minima with an earlier one taken: copies of a text count once."""
+    seeds, seen, out = K.seeded(60, 31)[:, None], set(), []
+    for i, bag in enumerate(bags):
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in bag), dtype=K.U64, count=len(bag))
+        low = [K.mix64((h[None, :] ^ seeds[j : j + 6]).ravel()).reshape(6, -1).min(axis=1).tobytes() for j in range(0, 60, 6)] if bag else []
+        keys = set(enumerate(low))
+        if not keys & seen:
+            seen |= keys
+            out.append(i)
+    return out
+
+
+def spoilt(word: str, rng: np.random.Generator, n: int) -> list[str]:
+    """The word with one character inserted, at n places."""
+    at = rng.permutation(np.arange(1, len(word)))[:n].tolist()
+    return [word[:i] + "*x.-0q_"[int(rng.integers(7))] + word[i:] for i in at]
+
+
 def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Machine:
     """Train on labelled texts; prior: the share of toxic labels, if the sample's differs."""
     y = np.array(labels)
@@ -150,9 +175,11 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mach
         return Machine(constant=prior)
     bags = [set().union(*(segments(s) for s in SENTENCE.split(t))) if t else set() for t in texts]
     dirty, clean = Counter(), Counter()
-    for bag, toxic in zip(bags, y):
-        (dirty if toxic else clean).update(bag)
-    nt, nc = int(y.sum()), int(len(y) - y.sum())
+    once = distinct_texts(bags)
+    for i in once:
+        (dirty if y[i] else clean).update(bags[i])
+    nt = int(y[once].sum())
+    nc = len(once) - nt
 
     def evidence(w: str) -> float:
         a, b = dirty[w], clean[w]
@@ -172,13 +199,14 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mach
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 2 and w not in known]
     # tolerance is trained in, too: witnesses with one inserted character stay witnesses
     rng = np.random.default_rng(7)
-    spoiled = [(w, w[:i] + "*x.-0"[int(rng.integers(5))] + w[i:]) for w in witnesses[:100] for i in rng.integers(1, len(w), 2).tolist()]
-    plus = witnesses + [x for _, x in spoiled]
-    weight = np.array([float(dirty[w]) for w in witnesses] + [0.25 * dirty[w] for w, _ in spoiled])
+    variants = {w: spoilt(w, rng, VARIANTS) for w in witnesses}
+    plus = witnesses + [x for w in witnesses for x in variants[w]]
+    weight = np.array([float(dirty[w]) for w in witnesses] + [dirty[w] / len(variants[w]) for w in witnesses for _ in variants[w]])
     minus = common[:1500] + [pool[i] for i in rng.permutation(len(pool))[:2500]]
     machine, worst = Machine(), []
     for _ in range(ROUNDS):
-        marks = [w[: WINDOW - 2] for w in dict.fromkeys(witnesses[: LANDMARKS // 2] + worst[: LANDMARKS // 4] + common)][:LANDMARKS]
+        hurt = [variants[w][0] for w in witnesses[: LANDMARKS // 4]]
+        marks = [w[: WINDOW - 2] for w in dict.fromkeys(witnesses[: LANDMARKS // 4] + hurt + worst[: LANDMARKS // 4] + common)][:LANDMARKS]
         place, dense, root = _landmark_map(marks)
         z = vectors(plus + minus, place, dense) @ root
         t = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
@@ -190,13 +218,18 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mach
         value = machine.values(pool)
         worst = [pool[i] for i in np.argsort(-value)[:500]]
         minus = list(dict.fromkeys(minus + worst))
-    # the curve over each text's largest value, with classes weighted back to their true shares
+    # the curve over each text's largest value, with classes weighted back to their true shares; half of the weight
+    # of toxic texts is theirs with all witnesses spoiled
     flat = sorted(set().union(*bags))
-    known = dict(zip(flat, machine.values(flat).tolist()))
-    top = np.array([max((known[w] for w in bag), default=machine.bias) for bag in bags])
+    value = dict(zip(flat, machine.values(flat).tolist()))
+    hurt = {w: float(np.median(machine.values(variants[w]))) for w in witnesses}
+    top = np.array([max((value[w] for w in bag), default=machine.bias) for bag in bags])
+    again = np.array([max((hurt[w] for w in bag & known), default=np.nan) if t else np.nan for bag, t in zip(bags, y)])
+    has = ~np.isnan(again)
     wt = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    slope, shift = _logistic(top, y, wt)
-    machine.slope, machine.shift = slope, shift
+    wt[has] /= 2
+    machine.slope, machine.shift = _logistic(np.concatenate([top, again[has]]), np.concatenate([y, y[has]]), np.concatenate([wt, wt[has]]))
+    machine.witnesses = frozenset(known)
     return machine
 
 
@@ -285,7 +318,9 @@ class Scorer:
         bags = []
         for text in texts:
             low = text.lower()
-            bag = set(low.split())
+            words = low.split()
+            bag = set(words)
+            bag |= m.witnesses.intersection(map(add, words, words[1:]))
             if SPELLED.search(low):
                 bag |= segments(low)
             bags.append(bag)

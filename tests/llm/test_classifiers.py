@@ -65,6 +65,24 @@ def test_toxicity_generalises_to_gaps_and_leaves_clean_text(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_tolerates_inserted_characters(spark):
+    rng, vocab = random.Random(12), vocabulary(12, 1500)
+    insults = ["vexor", "quizak", "wyzzle", "jaxxy", "kovyk"]
+    texts, labels = [], []
+    for i in range(400):
+        w = prose(rng, vocab, rng.randrange(20, 60)).split()
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(insults))
+        texts.append(" ".join(w))
+        labels.append(int(i % 4 == 0))
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    spoiled = [w[:i] + c + w[i:] for w in insults for i in range(1, len(w)) for c in "*x.-"]
+    split = [w[:i] + " " + w[i:] for w in insults for i in range(2, len(w) - 1)]
+    hits = scorer.scores([f"{prose(rng, vocab, 9)} {w} {prose(rng, vocab, 9)}" for w in spoiled + split]) >= 0.5
+    clean = scorer.scores([prose(rng, vocab, 60) for _ in range(300)] + ["", "word " * 50_000]) >= 0.5
+    assert hits[: len(spoiled)].mean() >= 0.9 and hits[len(spoiled) :].all() and clean.mean() <= 0.01
+
+
 def test_toxicity_column_filter_keeps_columns(spark):
     rows, labels = toxic_rows(200, 2)
     machine = toxicity.fit([t for _, t in rows], [t for _, _, t in labels])
