@@ -2,10 +2,12 @@
 
 Pass 1 turns every page into tokens: container tags with their path of enclosing containers, and text chunks
 with theirs. A token's occurrence vector holds its count on every page of its host; the vector is kept as an
-XOR of hashes of (page, count), a combinable aggregate over all pages, so no host is ever collected and a host
-with a third of all pages is an ordinary group. Tokens of one host with equal vectors form an equivalence
+XOR of hashes of (row, count), a combinable aggregate over all pages, so no host is ever collected and a host
+with a third of all pages is an ordinary group. Rows are told apart by their place, so repeated rows don't
+cancel. Tokens of one host with equal vectors form an equivalence
 class. A class is valid if it has at least MIN_TOKENS tokens and covers at least MIN_SHARE of the host's pages
-(and MIN_PAGES of them); valid classes nest by their paths and make up the template. Its text chunks are
+(and MIN_PAGES of them). Valid classes nest: a token belongs to the template only if the container around it is itself a
+token of a valid class, or the page. Its text chunks are
 boilerplate; its containers delimit slots, of which those under an article or main element, else those that
 hold more running text than links, are the host's main slots.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.bpe import texts_of
-from keystrata.llm.common import materialize, table
+from keystrata.llm.common import ROW_KEY, materialize, passing_tables, row_keyed, table
 
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.6, 3
 BROADCAST_HOSTS = 200_000
@@ -66,7 +68,7 @@ def host_of(url: str | None) -> str:
 
 
 def chunks(page: str) -> Iterator[tuple[str, object]]:
-    """("open", (path, main, boiler)), ("text", (raw, path stack, in a link)), ("cut", None) and ("gap", None) events.
+    """("open", (path, main, boiler, path around it)), ("text", (raw, path stack, in a link)), ("cut", None) and ("gap", None) events.
 
     Path stack: [(tag, path hash, under a main element, boilerplate)] of the open containers.
     """
@@ -105,28 +107,28 @@ def chunks(page: str) -> Iterator[tuple[str, object]]:
         named = " ".join(a or b or c for _, a, b, c in ATTR.findall(m.group(4))) if m.group(4) else ""
         odd = bool(named and tag not in MAIN and tag not in ("html", "body") and NAMED.search(named))
         if tag in CONTAINERS or (odd and tag in ("p", "li", "span")):
-            _, path, main, boiler = stack[-1]
-            path = xxhash.xxh64_intdigest(f"{path}/{tag}.{named}") >> 1
+            _, outer, main, boiler = stack[-1]
+            path = xxhash.xxh64_intdigest(f"{outer}/{tag}.{named}") >> 1
             boiler = boiler or tag in BOILER or odd or (tag == "header" and not main)
             main = main or tag in MAIN
             if not s.endswith("/>"):
                 stack.append((tag, path, main, boiler))
-            yield "open", (path, main, boiler)
+            yield "open", (path, main, boiler, outer)
 
 
 def page_tokens(page: str) -> dict[int, list[int]]:
-    """token -> [count, kind, characters, characters in links] of one page; token 0 stands for the page."""
-    out: dict[int, list[int]] = {0: [1, KIND_TAG, 0, 0]}
+    """token -> [count, kind, characters, characters in links, container around it] of one page; token 0 stands for the page."""
+    out: dict[int, list[int]] = {0: [1, KIND_TAG, 0, 0, 0]}
     for event, x in chunks(page):
         if event == "open":
-            path, main, boiler = x
-            out.setdefault(path, [0, KIND_BOILER if boiler else KIND_MAIN if main else KIND_TAG, 0, 0])[0] += 1
+            path, main, boiler, outer = x
+            out.setdefault(path, [0, KIND_BOILER if boiler else KIND_MAIN if main else KIND_TAG, 0, 0, outer])[0] += 1
         elif event == "text":
             raw, stack, link = x
             text = SPACE.sub(" ", raw).strip()
             if text:
                 key = xxhash.xxh64_intdigest(f"{stack[-1][1]}#{text}") >> 1
-                out.setdefault(key, [0, KIND_TEXT, 0, 0])[0] += 1
+                out.setdefault(key, [0, KIND_TEXT, 0, 0, stack[-1][1]])[0] += 1
                 if stack[-1][1] in out:
                     out[stack[-1][1]][2] += len(text)
                     out[stack[-1][1]][3] += len(text) * link
@@ -163,31 +165,36 @@ def main_text(page: str, slots: set[int], boilerplate: set[int]) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def host_tokens(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(host, token, vector, df, total, kind, chars, links), over all pages of each host."""
+COLUMNS = ("token", "vector", "df", "total", "kind", "chars", "links", "outer")
+
+
+def host_tokens(keyed: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """host and COLUMNS, over all pages of each host; `keyed` holds ROW_KEY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string())] + [(c, pa.int64()) for c in ("token", "vector", "df", "total", "kind", "chars", "links")])
+        schema = pa.schema([("host", pa.string())] + [(c, pa.int64()) for c in COLUMNS])
         for batch in batches:
-            acc: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0, 0])
-            for pid, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
+            acc: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0, 0, 0])
+            for file, row, url, page in zip(*(batch.column(c).to_pylist() for c in range(3)), texts_of(batch.column(3))):
                 host = host_of(url)
-                for token, (count, kind, chars, links) in page_tokens(page).items():
+                for token, (count, kind, chars, links, outer) in page_tokens(page).items():
                     a = acc[(host, token)]
-                    a[0] ^= xxhash.xxh64_intdigest(f"{pid}:{count}") >> 1
+                    a[0] ^= xxhash.xxh64_intdigest(f"{file}:{row}:{count}") >> 1
                     a[1] += 1
                     a[2] += count
                     a[3] = max(a[3], kind)
                     a[4] += chars
                     a[5] += links
-            cols = [[k[0] for k in acc], [k[1] for k in acc]] + [[a[i] for a in acc.values()] for i in range(6)]
+                    a[6] = outer
+            cols = [[k[0] for k in acc], [k[1] for k in acc]] + [[a[i] for a in acc.values()] for i in range(7)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-    slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    rows = slim.mapInArrow(run, "host string, token long, vector long, df long, total long, kind long, chars long, links long")
+    slim = keyed.select(*ROW_KEY, F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    rows = slim.mapInArrow(run, "host string, " + ", ".join(f"{c} long" for c in COLUMNS))
     return rows.groupBy("host", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
-    )
+        F.bit_xor("vector").alias("vector"), F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.max("outer").alias("outer"),
+    )
 
 
 def templates(tokens: DataFrame) -> DataFrame:
@@ -196,6 +203,8 @@ def templates(tokens: DataFrame) -> DataFrame:
     often = tokens.join(size, "host").filter((F.col("df") >= MIN_PAGES) & (F.col("df") >= MIN_SHARE * F.col("pages")))
     classes = often.groupBy("host", "vector", "df", "total").agg(F.count(F.lit(1)).alias("tokens"))
     valid = often.join(classes.filter(F.col("tokens") >= MIN_TOKENS).select("host", "vector", "df", "total"), ["host", "vector", "df", "total"])
+    around = valid.filter(F.col("kind") != KIND_TEXT).select("host", F.col("token").alias("outer"))
+    valid = valid.join(around.unionByName(size.select("host", F.lit(0).cast("long").alias("outer"))).distinct(), ["host", "outer"], "left_semi")
     has_main = F.max(F.when(F.col("kind") == KIND_MAIN, 1).otherwise(0))
     picked = valid.filter("token <> 0").groupBy("host").agg(
         has_main.alias("m"),
@@ -229,7 +238,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 n = at - start
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    found = materialize(templates(host_tokens(pages, id_col, url_col, html_col)), "templates")
+    with passing_tables(pages.sparkSession):
+        tokens = materialize(host_tokens(row_keyed(pages, url_col, html_col), url_col, html_col), "host-tokens")  # pages are parsed for it once
+        found = materialize(templates(tokens), "templates", keep=True)
     slim = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     host = F.when(F.instr("__url", "://") > 0, F.lower(F.substring_index(F.regexp_extract(F.regexp_replace("__url", "^.*?://", ""), "^[^/?#]*", 0), "@", -1)))
     slim = slim.withColumn("__host", F.coalesce(host, F.lit("")))

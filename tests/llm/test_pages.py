@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.llm import html_extract, warc
+from keystrata.llm.common import row_keyed
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -92,10 +93,33 @@ def test_template_text_inside_articles_goes_unless_the_page_is_a_copy(spark):
 
 def test_templates_group_equal_vectors(spark):
     rows = [(i, "http://h/x", page(i, f"<p>{'word ' * i}")) for i in range(1, 5)]
-    found = html_extract.templates(html_extract.host_tokens(pages(spark, rows), "page_id", "url", "html")).collect()
+    found = html_extract.templates(html_extract.host_tokens(row_keyed(pages(spark, rows)), "url", "html")).collect()
     assert len(found) == 1 and len(found[0]["slots"]) == 1
 
 
+def plain_page(host, i, own):
+    """A page without article, main, or telling names; only what the host's pages share tells its template."""
+    top = "".join(f'<div class="q{host}{k}"><a href="/{k}">{host} section {k}</a></div>' for k in range(4))
+    return f"<html><body><div class='x{host}'>{top}</div><div class='z{host}'><p>Welcome to {host}, all about {host}</p>{own}<p>Printed by {host} and friends</p></div><div>Call {host} now</div></body></html>"
+
+
+def test_the_template_decides_where_tags_tell_nothing(spark, monkeypatch):
+    rows, want = [], {}
+    for host in ("aa", "bb"):
+        for i in range(7):
+            rows.append((len(rows), f"http://{host}/{i}", plain_page(host, i, f"<p>Own words {host} {i} " + f"w{i} " * 30 + f"</p><p>more of {i}</p>")))
+            want[len(rows) - 1] = f"Own words {host} {i} " + (f"w{i} " * 30).strip() + f"\n\nmore of {i}"
+    run = lambda rows: html_extract.extract_main_text(pages(spark, rows)).collect()
+    assert {r["page_id"]: r["text"] for r in run(rows)} == want
+    twice = run(rows + rows + [(None, u, h) for _, u, h in rows])  # repeated rows and null identifiers don't cancel
+    assert sorted(r["text"] for r in twice) == sorted(list(want.values()) * 3)
+    empty = html_extract.templates
+    monkeypatch.setattr(html_extract, "templates", lambda tokens: empty(tokens).limit(0))
+    assert all("Welcome" in r["text"] and "Call" in r["text"] for r in run(rows))  # without templates all of it stays
+    long = [(i, "http://long/x", f"<article><p>{'long text ' * 200_000}{i}</article>") for i in range(2)]
+    assert [r["n_chars"] for r in run(long)] == [2_000_001] * 2
+
+
 def test_host_in_spark_equals_host_in_python():
     assert html_extract.host_of("https://u:p@Host.Example:8/x?y") == "host.example:8"
     assert html_extract.host_of(None) == html_extract.host_of("nothing") == ""
