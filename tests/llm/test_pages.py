@@ -35,11 +35,22 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_bytes_are_deterministic(spark, tmp_path):
-    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
-    warc.write_warc(pages(spark, ROWS), a)
-    warc.write_warc(pages(spark, ROWS[::-1]), b)
-    assert (tmp_path / "a/manifest.json").read_bytes() == (tmp_path / "b/manifest.json").read_bytes()
-    assert not [p for p in (tmp_path / "a").iterdir() if ".tmp" in p.name]
+    rows = [(i * 37 % 400, f"http://h/{i}", f"page {i} " * (i % 60)) for i in range(400)] + ROWS + ROWS[:4] + [(None, "z", f"{i}" * 900) for i in range(30)]
+    rows += [(10**18, "far", "x"), (-(10**18), "far", "y" * 5000), (7, "same", "s" * 3000), (7, "same", "s" * 3000)]
+    written = []
+    for k, parts in enumerate((3, 16)):
+        df = spark.createDataFrame(rows[::-1] if k else rows, SCHEMA).repartition(parts)
+        files = warc.write_warc(df, f"file://{tmp_path}/{k}", range_bytes=20_000, roll_bytes=3000)
+        written.append((tmp_path / f"{k}/manifest.json").read_bytes())
+    assert written[0] == written[1] and len({f.split("part-")[1][:6] for f in files}) > 10
+    assert not [p for p in (tmp_path / "0").iterdir() if ".tmp" in p.name]
+    got = warc.read_warc(spark, files).collect()
+    text = lambda i: "" if i is None else str(i)
+    assert sorted(text(r["record_id"]) for r in got) == sorted(text(i) for i, _, _ in rows)
+    assert sorted(r["payload_digest"] for r in got) == sorted(hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows)
+    raw = [m for f in files for m in warc.members(open(f.removeprefix("file://"), "rb").read())]
+    ids = [warc.parse_record(m)["headers"]["warc-record-id"] for m in raw]
+    assert len(ids) == len(set(ids)) == len(rows) + len(files)  # each file opens with a warcinfo record
 
 
 def test_warc_empty_and_damaged(spark, tmp_path):
