@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import attach_group, drop_path, materialize, scratch_path, table
+from keystrata.llm.common import attach_group, materialize, scratch_path, table
 from keystrata.llm.elias_fano import write_file
 
-ROLL_BYTES, REVISIT_FROM, RANGE_BYTES, CELLS = 8 << 20, 1000, 64 << 20, 4096
+ROLL_BYTES, REVISIT_FROM, RANGE_BYTES, CELLS = 8 << 20, 1000, 16 << 20, 4096
 DATE = "1970-01-01T00:00:00Z"  # no clock in the bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = -(1 << 63)
@@ -124,10 +124,13 @@ def parse_record(raw: bytes) -> dict:
     return {"headers": h, "payload": payload, "full_bytes": full}
 
 
-def plan_revisits(pages: DataFrame, id_col: str, url_col: str, body_col: str, revisit_from: int) -> DataFrame:
-    """(__id, __url, __body, __refers): each row with the response it revisits, if any."""
-    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("__body"))
-    named = rows.select("__id", F.unhex(F.sha1("__body")).alias("__sha"), F.octet_length("__body").alias("__len")).filter(F.col("__len") >= revisit_from)
+def _slim(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("__body"))
+
+
+def plan_revisits(rows: DataFrame, digests: DataFrame, revisit_from: int) -> DataFrame:
+    """(__id, __url, __body, __refers): each row with the response it revisits, if any; digests: (__id, __sha, __len) of the rows."""
+    named = digests.select("__id", "__sha", "__len").filter(F.col("__len") >= revisit_from)
     best = attach_group(named, ["__sha", "__len"], F.col("__id"), {"__best": (F.max("__id"), "max")})
     revisit = best.filter(F.col("__id") < F.col("__best")).select(F.col("__id").alias("__id2"), "__sha", "__len", "__best").distinct()
     # written first, so that Spark knows its size: a short list is broadcast, and payloads aren't shuffled for it
@@ -210,18 +213,18 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     key = F.coalesce(F.col("__id"), F.lit(LEAST)).alias("k")
     tie = F.xxhash64("__url", "__body").alias("h")
-    slim = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("__body"))
-    sizes = materialize(slim.select(key, tie, (F.octet_length("__body") + 512).cast("long").alias("n")), "record-sizes")
-    borders = range_borders(sizes, range_bytes)
-    drop_path(spark, sizes.inputFiles()[0].rpartition("/")[0]) if sizes.inputFiles() else None
+    rows = _slim(pages, id_col, url_col, body_col)
+    # payloads are read once for their digests and sizes, once to be written
+    digests = materialize(rows.select("__id", F.unhex(F.sha1("__body")).alias("__sha"), F.octet_length("__body").alias("__len"), key, tie), "digests")
+    borders = range_borders(digests.select("k", "h", (F.col("__len") + 512).cast("long").alias("n")), range_bytes)
     known = spark.sparkContext.broadcast(borders)  # 16 bytes a range
 
     @F.udf("int", useArrow=True)
     def range_of(k, h):
         return max(bisect_right(known.value, (k, h)) - 1, 0)
 
-    planned = plan_revisits(pages, id_col, url_col, body_col, revisit_from).withColumn("__part", range_of(key, tie))
-    ranged = planned.repartition(max(1, len(borders)), "__part").sortWithinPartitions("__part", F.col("__id").asc_nulls_first(), tie, "__url")
+    planned = plan_revisits(rows, digests, revisit_from).withColumn("__part", range_of(key, tie))
+    ranged = planned.repartition(max(1, 2 * len(borders)), "__part").sortWithinPartitions("__part", F.col("__id").asc_nulls_first(), tie, "__url")
     files = ranged.select("__id", "__url", "__body", "__refers", "__part").mapInArrow(run, "name string, records long, bytes long, sha256 string")
     listed = sorted(tuple(r) for r in files.collect())  # a row a file
     manifest = [dict(zip(("name", "records", "bytes", "sha256"), r)) for r in listed]
