@@ -3,12 +3,14 @@
 Every line is good or bad. Its features are shares of character classes, lengths, word repetition and
 likeness to its neighbours, each also seen from the line before and after; a transition score ties
 neighbouring labels. Forward-backward gives each line's probability of being good; a document's raw quality
-is the mean of its lines' probabilities weighted by length, and a logistic curve over it and the worst tenth
-of the text gives the score.
+is the mean of its lines' probabilities weighted by length, and a logistic curve over it and the lowest
+probability of any line of LONG_LINE bytes or more gives the score.
 
 Training is on a bounded sample of labelled texts (MAX_GOOD and MAX_BAD rows, by hash of the identifier, texts
 of at most MAX_TEXT bytes); a text's label stands for all its lines. Scoring is vectorised over whole Arrow
-buffers, line by line for all documents of a slice at once.
+buffers, line by line for all documents of a slice at once. A line's features are weighed in blocks of BLOCK_LINES
+lines and BLOCK_BYTES bytes (or one longer line): its own three scores, as a line, as the one before and as the one
+after, are all that is kept of it, so texts of very many lines need a few numbers a line.
 
 Defined cases: null and empty texts have one empty line; repeated rows are separate; without usable labels
 every score is 0.5, with one class its share; texts of any length are scored whole; other columns are ignored.
@@ -29,6 +31,7 @@ from keystrata.llm.toxicity import training_sample
 
 MAX_GOOD, MAX_BAD, MAX_TEXT = 1500, 1500, 32_768
 STEPS, RATE, RIDGE = 250, 0.08, 1e-3
+LONG_LINE, BLOCK_LINES, BLOCK_BYTES = 40, 16_384, 1 << 20
 
 # character classes: 0 other bytes of multi-byte characters, 1 lower case, 2 upper case, 3 digits, 4 white space,
 # then every ASCII punctuation mark by itself
@@ -53,6 +56,18 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, bytes per line, lines per document)."""
     bounds, counts = lines_of(data, offsets)
+    return block_features(data, bounds, opening(counts)), np.diff(bounds), counts
+
+
+def opening(counts: np.ndarray) -> np.ndarray:
+    """Which lines open a document."""
+    out = np.zeros(int(counts.sum()), bool)
+    out[np.cumsum(counts) - counts] = True
+    return out
+
+
+def block_features(data: np.ndarray, bounds: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The features of the lines data[bounds[i]:bounds[i+1]]; opens: which of them open a document."""
     n = len(bounds) - 1
     size = np.diff(bounds)
     line = np.repeat(np.arange(n), size)
@@ -60,9 +75,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     share = hist / np.maximum(size, 1)[:, None]
     x = np.zeros((n, N_LINE), dtype=np.float64)
     x[:, :N_CLASS] = np.sqrt(share)
-    starts, ends, _ = K.word_spans(data, offsets)
+    starts, stops, _ = K.word_spans(data, bounds)
     at = np.searchsorted(bounds, starts, side="right") - 1
-    h = K.word_hashes(data, starts, ends)
+    h = K.word_hashes(data, starts, stops)
     words = np.bincount(at, minlength=n).astype(np.float64)
     same_line = at[1:] == at[:-1]
     again = np.bincount(at[1:][same_line & (h[1:] == h[:-1])], minlength=n)
@@ -71,7 +86,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     first = np.ones(len(key), bool)
     first[1:] = key[order][1:] != key[order][:-1]
     unique = np.bincount(at[order[first]], minlength=n)
-    letters = np.bincount(at, weights=(ends - starts), minlength=n)
+    letters = np.bincount(at, weights=(stops - starts), minlength=n)
     most = np.maximum(words, 1)
     sums = np.zeros(n, dtype=K.U64)
     np.add.at(sums, at, h)
@@ -82,12 +97,12 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     x[:, tail + 3] = unique / most
     x[:, tail + 4] = np.minimum(letters / most, 20) / 10
     x[:, tail + 5] = words == 0
-    x[1:, tail + 6] = (sums[1:] == sums[:-1]) & (words[1:] > 0)
+    x[1:, tail + 6] = (sums[1:] == sums[:-1]) & (words[1:] > 0) & ~opens[1:]
     x[:, tail + 7] = share[:, 5:].sum(axis=1)
     x[:, tail + 8] = hist[:, 2] / np.maximum(hist[:, 1] + hist[:, 2], 1)
     x[:, tail + 9] = (unique / most) ** 4
     x[:, tail + 10] = hist[:, 5:].sum(axis=1) / most
-    return x, size, counts
+    return x
 
 
 def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,8 +117,8 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, edge], axis=1)
 
 
-def forward_backward(good: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P(good) of each line, pair marginals summed over neighbours); good: each line's score for good, bad's is 0.
+def forward_backward(good: np.ndarray, counts: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(P(good) of each line, pair marginals summed over neighbours if asked for); good: each line's score for good, bad's is 0.
 
     All documents advance together, longest first, so a step only touches those that still have lines.
     """
@@ -126,6 +141,8 @@ def forward_backward(good: np.ndarray, counts: np.ndarray, trans: np.ndarray) ->
         beta[rows] = lse(trans[None] + (psi[rows + 1] + beta[rows + 1])[:, None, :])
     joint = alpha + beta
     p = 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -50, 50)))
+    if not pairs:
+        return p, None
     inner = np.ones(len(good), bool)
     inner[np.cumsum(counts) - counts] = False
     rows = np.flatnonzero(inner)
@@ -142,19 +159,39 @@ class Field:
     def __init__(self, constant: float = 0.5):
         self.constant, self.w, self.trans, self.curve = constant, None, np.zeros((2, 2)), np.zeros(3)
 
+    def line_scores(self, data: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Each line's score for good: what `with_neighbours` times the weights gives, block by block."""
+        n = len(bounds) - 1
+        # own, as the line before, as the line after
+        w = self.w[: 3 * N_LINE].reshape(3, N_LINE).T
+        opens, parts, i = opening(counts), np.empty((n, 3)), 0
+        while i < n:
+            j = int(np.searchsorted(bounds, bounds[i] + BLOCK_BYTES, side="right")) - 1
+            j = min(n, i + BLOCK_LINES, max(j, i + 1))
+            a = max(i - 1, 0)  # one line more: a feature compares a line with the one before
+            x = block_features(data[bounds[a] : bounds[j]], bounds[a : j + 1] - bounds[a], opens[a:j])
+            parts[i:j] = ((x[i - a :] - self.mean) / self.std) @ w
+            i = j
+        first, last = np.cumsum(counts) - counts, np.cumsum(counts) - 1
+        good = parts[:, 0] + self.w[-1]
+        good[1:] += np.where(opens[1:], 0.0, parts[:-1, 1])
+        good[:-1] += np.where(opens[1:], 0.0, parts[1:, 2])
+        good[first] += self.w[-3]
+        good[last] += self.w[-2]
+        return good
+
     def line_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, size, counts = line_features(data, offsets)
-        good = (with_neighbours((x - self.mean) / self.std, counts)) @ self.w
-        p, _ = forward_backward(good, counts, self.trans)
-        return p, size, counts
+        bounds, counts = lines_of(data, offsets)
+        p, _ = forward_backward(self.line_scores(data, bounds, counts), counts, self.trans, pairs=False)
+        return p, np.diff(bounds), counts
 
     def document_features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per document: log-odds of the length-weighted mean, the lowest mean of any line, and a constant."""
+        """Per document: log-odds of the length-weighted mean, those of the lowest long line, and a constant."""
         p, size, counts = self.line_probabilities(data, offsets)
         w = size + 1.0
         at = np.cumsum(counts) - counts
         mean = np.add.reduceat(p * w, at) / np.add.reduceat(w, at)
-        low = np.minimum.reduceat(np.where(size >= 40, p, 1.0), at)
+        low = np.minimum.reduceat(np.where(size >= LONG_LINE, p, 1.0), at)
         odds = lambda q: np.log(np.clip(q, 1e-4, 1 - 1e-4) / (1 - np.clip(q, 1e-4, 1 - 1e-4)))
         return np.stack([odds(mean), odds(low), np.ones_like(mean)], axis=1)
 

@@ -120,16 +120,62 @@ def test_marginals_equal_enumeration():
 
 
 def test_line_features_see_each_document_alone():
-    texts = ["one two\n\nthree three", "", "\n", "UP!! up"]
+    texts = ["one two\n\nthree three", "", "\n", "UP!! up", "UP!! up\nup"]
     data, offsets = quality.buffers(texts)
     x, size, counts = quality.line_features(data, offsets)
-    assert counts.tolist() == [3, 1, 2, 1] and size.tolist() == [8, 1, 11, 0, 1, 0, 7]
+    assert counts.tolist() == [3, 1, 2, 1, 2] and size.tolist() == [8, 1, 11, 0, 1, 0, 7, 8, 2]
     for i, t in enumerate(texts):
         alone = quality.line_features(*quality.buffers([t]))[0]
         a = int(counts[:i].sum())
         assert np.allclose(alone, x[a : a + counts[i]])
 
 
+def field_of(seed):
+    rng = np.random.default_rng(seed)
+    field = quality.Field()
+    field.w, field.trans = rng.normal(size=3 * quality.N_LINE + 3), rng.normal(size=(2, 2))
+    field.mean, field.std, field.curve = rng.random(quality.N_LINE), 1 + rng.random(quality.N_LINE), np.array([1.0, 0.5, 0.1])
+    return field
+
+
+def test_line_scores_in_blocks_equal_whole_feature_rows(monkeypatch):
+    rng, vocab, field = random.Random(8), vocabulary(5, 40), field_of(2)
+    texts = ["\n".join(rng.choice([prose(rng, vocab, rng.randrange(1, 12)), "", "again again", "é ü!"]) for _ in range(rng.randrange(0, 9))) for _ in range(40)] + ["", "\n" * 7, "x" * 90]
+    data, offsets = quality.buffers(texts)
+    x, _, counts = quality.line_features(data, offsets)
+    want = quality.with_neighbours((x - field.mean) / field.std, counts) @ field.w
+    bounds, _ = quality.lines_of(data, offsets)
+    for lines, size in ((1, 1 << 20), (3, 1 << 20), (100, 30), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(quality, "BLOCK_LINES", lines)
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+        assert np.allclose(field.line_scores(data, bounds, counts), want)
+    alone = [field.score(*quality.buffers([t]))[0] for t in texts]
+    assert np.allclose(field.score(data, offsets), alone)
+
+
+def test_many_lines_need_little_memory():
+    import tracemalloc
+
+    data, offsets = quality.buffers(["\n" * 400_000, "a b\n" * 50_000])
+    field = field_of(3)
+    tracemalloc.start()
+    s = field.score(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((0 <= s) & (s <= 1)).all() and peak < 250_000_000
+
+
+def test_the_chain_changes_answers():
+    """A doubtful line between bad ones is bad, between good ones good; without transitions both are alike."""
+    good = np.array([-3.0, 0.1, -3.0, 3.0, -0.1, 3.0])
+    tie = np.array([[1.5, -1.5], [-1.5, 1.5]])
+    counts = np.array([3, 3])
+    p, pairs = quality.forward_backward(good, counts, tie, pairs=False)
+    assert pairs is None and p[1] < 0.1 and p[4] > 0.9
+    q, _ = quality.forward_backward(good, counts, np.zeros((2, 2)))
+    assert q[1] > 0.5 > q[4]
+
+
 def test_quality_on_held_out_rows(spark):
     rng, vocab = random.Random(3), vocabulary(4, 300)
     rows, labels = [], []
