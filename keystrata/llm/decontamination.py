@@ -7,8 +7,9 @@ so that 8 to 15 words of which at most a fifth are changed, wherever, always hol
 passages can be cut into such pieces, one of which has at most a fifth changed, so no copy within 80 % is
 missed. Equal hashes name an item and an alignment (text position minus item position); around each
 alignment all words of the item are compared with the text's. The text is contaminated if at least `num/den`
-of the item's words agree there. Items shorter than SPAN words are hashed whole, at every position of the
-text, and must agree word for word.
+of the item's words agree there, or of any `overlap` (OVERLAP = 13) consecutive words of it: a long part of an item counts,
+too, as do the parts beside an inserted or deleted word. `overlap` words of which num/den agree hold an undisturbed
+seed as well. Items shorter than SPAN words are hashed whole, at every position of the text, and must agree word for word.
 
 Words become 64-bit hashes first and positions are exploded without the text. If a count shows at most
 `broadcast_rows` seeds they are broadcast, and positions with no hit go before anything else is done; else
@@ -32,6 +33,7 @@ from keystrata.llm.common import ROW_KEY, ascii_lower, materialize, row_keyed, t
 MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 4, 6), (1, 2, 4, 6, 7), (0, 1, 2, 5, 7), (0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
 SPAN = 8
 BROADCAST_ROWS = 500_000
+OVERLAP = 13
 
 
 def words_of(col: Column) -> Column:
@@ -68,16 +70,19 @@ def _whole_slices(words: Column, n: int) -> Column:
 
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS,
+    num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS, overlap: int = OVERLAP,
 ) -> DataFrame:
-    """One row per text, item and alignment that overlap: `id_col`, `item_col`, word_start, word_end, matched, item_words."""
-    spans = contaminated_rows(row_keyed(docs, id_col, text_col), benchmark, id_col, text_col, item_col, item_text_col, num, den, broadcast_rows)
+    """One row per text, item and alignment that overlap: `id_col`, `item_col`, word_start, word_end, matched, item_words.
+
+    The words are those under the whole item; matched counts the words that agree there.
+    """
+    spans = contaminated_rows(row_keyed(docs, id_col, text_col), benchmark, id_col, text_col, item_col, item_text_col, num, den, broadcast_rows, overlap)
     return spans.drop(*ROW_KEY).distinct()
 
 
 def contaminated_rows(
     keyed: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS,
+    num: int = 4, den: int = 5, broadcast_rows: int = BROADCAST_ROWS, overlap: int = OVERLAP,
 ) -> DataFrame:
     """ROW_KEY and the columns of `contaminated_spans`, for each row of `keyed`, which holds ROW_KEY."""
     items = benchmark.select(F.col(item_col).alias("__item"), words_of(F.col(item_text_col)).alias("__iw")).filter(F.size("__iw") > 0)
@@ -117,9 +122,16 @@ def contaminated_rows(
     near = near.withColumn("__text", F.slice("__w", F.greatest("__shift", F.lit(0)) + 1, F.col("__n") + F.least("__shift", F.lit(0))))
     lead = F.greatest(-F.col("__shift"), F.lit(0))
     part = F.slice("__iw", lead + 1, F.size("__text"))
-    agree = F.size(F.filter(F.zip_with("__text", part, lambda a, b: a == b), lambda x: x))
-    out = near.select(*ROW_KEY, "__id", "__item", "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"))
-    out = out.filter(F.when(F.col("__n") < SPAN, F.col("__m") == F.col("__n")).otherwise(F.col("__m") * den >= F.col("__n") * num))
+    near = near.withColumn("__same", F.zip_with("__text", part, lambda a, b: (a == b).cast("int")))
+    agree = F.size(F.filter("__same", lambda x: x == 1))
+    # the most agreeing words of any `overlap` neighbours: each step adds a word and takes the one `overlap` before it off
+    gains = F.zip_with("__same", F.slice(F.concat(F.array_repeat(F.lit(0), overlap), "__same"), F.lit(1), F.size("__same")), lambda x, old: x - old)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    step = lambda acc, x: F.struct((acc["now"] + x).alias("now"), F.greatest(acc["best"], acc["now"] + x).alias("best"))
+    most = F.when(F.size("__same") >= overlap, F.aggregate(gains, start, step)["best"]).otherwise(0)
+    out = near.select(*ROW_KEY, "__id", "__item", "__shift", "__n", F.size("__text").alias("__len"), agree.alias("__m"), most.alias("__most"))
+    part_agrees = F.col("__most") * den >= overlap * num
+    out = out.filter(F.when(F.col("__n") < SPAN, F.col("__m") == F.col("__n")).otherwise((F.col("__m") * den >= F.col("__n") * num) | part_agrees))
     return out.select(
         *ROW_KEY, F.col("__id").alias(id_col), F.col("__item").alias(item_col), F.greatest("__shift", F.lit(0)).cast("long").alias("word_start"),
         (F.greatest("__shift", F.lit(0)) + F.col("__len")).cast("long").alias("word_end"), F.col("__m").cast("long").alias("matched"), F.col("__n").cast("long").alias("item_words"),

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from keystrata.llm.decontamination import MASKS, SPAN, contaminated_spans
+from keystrata.llm.decontamination import MASKS, OVERLAP, SPAN, contaminated_spans
 from tests.llm.util import docs_frame, prose, vocabulary, words
 
 
@@ -16,8 +16,10 @@ def brute(rows, items):
         for i, t in rows:
             w = words(t)
             for shift in range(-len(iw) + 1, len(w)):
-                m = sum(0 <= shift + p < len(w) and w[shift + p] == x for p, x in enumerate(iw))
-                if iw and (m == len(iw) if len(iw) < SPAN else m * 5 >= 4 * len(iw)):
+                inside = [w[shift + p] == x for p, x in enumerate(iw) if 0 <= shift + p < len(w)]
+                m = sum(inside)
+                part = any(sum(inside[a : a + OVERLAP]) * 5 >= 4 * OVERLAP for a in range(len(inside) - OVERLAP + 1))
+                if iw and (m == len(iw) if len(iw) < SPAN else m * 5 >= 4 * len(iw) or part):
                     out.add((i, b, max(shift, 0), min(len(w), shift + len(iw)), m, len(iw)))
     return out
 
@@ -78,6 +80,26 @@ def test_every_copy_within_four_fifths_is_found(spark):
         assert {tuple(r) for r in contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select(cols).collect()} == want
 
 
+def test_parts_of_long_items_are_found(spark):
+    """Long quotations, copies with a word inserted or dropped, and parts with a fifth of the words changed; shorter parts are not."""
+    item = [f"w{j}" for j in range(60)]
+    other = [f"z{j}" for j in range(9)]
+    rng = random.Random(12)
+    rows = [other + item[:45] + other, item[20:40], item[:30] + ["new"] + item[30:], item[:30] + item[31:], item[:OVERLAP], item[-OVERLAP:] + other, item[10 : 10 + OVERLAP - 3] + other, item[10:22]]
+    for _ in range(30):
+        a = rng.randrange(60 - OVERLAP)
+        gone = rng.sample(range(a, a + OVERLAP), OVERLAP // 5)
+        rows.append(other[: rng.randrange(9)] + ["changed" if j in gone else item[j] for j in range(a, a + OVERLAP)] + other[: rng.randrange(9)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    items = [(1, " ".join(item))]
+    cols = ["doc_id", "item_id", "word_start", "word_end", "matched", "item_words"]
+    want = brute(rows, items)
+    assert {i for i, *_ in want} == set(range(38)) - {6, 7}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for n in (500_000, 0):
+        assert {tuple(r) for r in contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select(cols).collect()} == want
+
+
 def test_rows_that_share_an_identifier_are_told_apart(spark):
     item = " ".join(f"w{j}" for j in range(15))
     seed = " ".join([*item.split()[:8], *(f"x{j}" for j in range(7))])  # a hit at the same alignment that is no copy
