@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.scalar import bloom_bits, level_budget, log_bytes, padded_key, size_bucket, user_bytes
 from keystrata.operators import compaction, lookup, resolve
-from keystrata.operators.separation import split_values
+from keystrata.operators.separation import dereference, split_values
 from keystrata.plans.store import Options, Store
 
 K = {"key": "k", "order": "seq"}
@@ -189,18 +189,23 @@ def value_separation(spark, sf):
     return run.select(F.col("key").alias("doc_id"), F.col("vref").isNotNull().cast("int").alias("separated"), size.alias("len"))
 
 
+def _separated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(values, run) of the whole log with every value separated, as one generation."""
+    values, run = split_values(_store_log(spark, sf).drop("run"), 1, 0)
+    return values.withColumn("gen", F.lit(1)), run
+
+
 def pointer_deref(spark, sf):
-    newest = resolve.live_view(change_log(spark, sf).drop("v"), **K)
-    values = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("props").alias("v"))
-    return newest.join(values, "seq").select("k", "v")
+    values, run = _separated(spark, sf)
+    return _text(dereference(resolve.live(resolve.newest_per_key(run)), values))
 
 
 def gc_live_dead(spark, sf):
-    log = change_log(spark, sf)
-    top = log.groupBy("k").agg(F.max("seq").alias("top"))
-    puts = log.filter("op = 0").join(top, "k")
-    size = F.octet_length("v").cast("long")
-    return puts.agg(F.sum(size).alias("before_bytes"), F.sum(F.when(F.col("seq") == F.col("top"), size).otherwise(0)).alias("after_bytes"))
+    """Bytes of separated values before a collection, and of those it copies."""
+    values, run = _separated(spark, sf)
+    size = F.sum(F.octet_length("value").cast("long"))
+    copied = dereference(resolve.live(resolve.newest_per_key(run)), values)
+    return values.agg(size.alias("before_bytes")).join(F.broadcast(copied.agg(size.alias("after_bytes"))))  # one row each
 
 
 def snapshot_asof(spark, sf):
