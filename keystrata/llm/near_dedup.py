@@ -39,7 +39,7 @@ from keystrata.llm.components import connected_components
 ROWS, BANDS, SKETCH_BITS, WIDE_BITS = 8, 40, 512, 2048
 SAMPLES = ROWS * BANDS
 BLOCK = 2048
-SIG_SCHEMA = "`__file` long, `__row` long, doc_id long, n_shingles long, cid long, sketch binary, wide binary, bands array<long>"
+SIG_SCHEMA = "`__file` long, `__row` long, doc_id long, n_shingles long, cid long, sketch array<long>, wide binary, bands array<long>"
 
 _A = (K.seeded(SAMPLES, 11) & K.U64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (K.seeded(SAMPLES, 12) & K.U64(0xFFFFFFFF)).astype(np.uint32)
@@ -60,11 +60,11 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(sig: np.ndarray) -> np.ndarray:
-    """The samples' parity bitmap, SKETCH_BITS wide, packed. sig: one row of minima a set."""
+    """The samples' parity bitmap, SKETCH_BITS wide, as 64-bit words. sig: one row of minima a set."""
     bit = (K.mix64(sig.astype(K.U64) + _SAMPLE_SALT) % K.U64(SKETCH_BITS)).astype(np.int64)
     flips = np.zeros((len(sig), SKETCH_BITS), dtype=np.uint16)
     np.add.at(flips, (np.repeat(np.arange(len(sig)), SAMPLES), bit.ravel()), 1)
-    return np.packbits((flips & 1).astype(np.uint8), axis=1)
+    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
 def wide_sketch(shingles: np.ndarray) -> bytes:
@@ -118,18 +118,17 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n = j - i
                 cid = np.zeros(n, np.int64)
                 has = np.zeros(n, bool)
-                sketches: list = [None] * n
                 wide: list = [None] * n
-                bands = [np.zeros(0, np.int64)] * n
+                sketches, bands = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
                 if full:
                     cid[full], has[full] = cids, True
                     sig = np.stack(sigs)
                     key = (sig.reshape(len(full), BANDS, ROWS).astype(K.U64) * _BAND_MULT).sum(axis=2, dtype=K.U64)
                     key = K.signed(K.mix64(K.mix64(key) + _BAND_SALT))
                     for at, s, v, b in zip(full, odd_sketch(sig), wides, key):
-                        sketches[at], wide[at], bands[at] = s.tobytes(), v, b
+                        sketches[at], wide[at], bands[at] = s, v, b
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, n) for c in range(3)), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), K.list_array(bands)],
+                    [*(batch.column(c).slice(i, n) for c in range(3)), pa.array(sizes, pa.int64()), pa.array(cid, mask=~has), K.list_array(sketches), pa.array(wide, pa.binary()), K.list_array(bands)],
                     [*ROW_KEY, "doc_id", "n_shingles", "cid", "sketch", "wide", "bands"],
                 )
 
@@ -220,9 +219,10 @@ def cross_pairs(limit: int, num: int, den: int, forest: bool):
             part = part.combine_chunks()
             n = part.num_rows
             c = {k: part[k].to_numpy() for k in ("bkey", "i", "j", "cid", "comp", "n")} | {k: part[k].combine_chunks().to_numpy(zero_copy_only=False) for k in ("left", "minor")}
-            for k in ("sketch", "wide"):
-                c[k] = np.frombuffer(b"".join(part[k].to_pylist()), dtype=np.uint64).reshape(n, -1)
-            c["bands"] = part["bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+            c["wide"] = np.frombuffer(b"".join(part["wide"].to_pylist()), dtype=np.uint64).reshape(n, -1)
+            for k in ("sketch", "bands"):
+                c[k] = part[k].combine_chunks().flatten().to_numpy().reshape(n, -1)
+            c["sketch"] = c["sketch"].view(np.uint64)
             new = np.ones(n, bool)
             new[1:] = (c["bkey"][1:] != c["bkey"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
             cut = np.append(np.flatnonzero(new), n)
@@ -348,16 +348,10 @@ def _merged(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
 
 
 def odd_bits(a: str, b: str):
-    """Population count of the XOR of two sketches, natively: the bitmap read as 64-bit words."""
-    words = [
-        F.bit_count(
-            F.conv(F.hex(F.substring(F.col(a), 1 + 8 * i, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(F.col(b), 1 + 8 * i, 8)), 16, -10).cast("long"))
-        )
-        for i in range(SKETCH_BITS // 64)
-    ]
-    total = words[0]
-    for w in words[1:]:
-        total = total + w
+    """Population count of the XOR of two sketches, natively."""
+    total = F.lit(0)
+    for i in range(SKETCH_BITS // 64):
+        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return total
 
 

@@ -72,7 +72,7 @@ def test_odd_sketch_counts_differing_samples():
     b = a.copy()
     b[0, :20] += 1
     x, y = near_dedup.odd_sketch(a), near_dedup.odd_sketch(b)
-    odd = int(np.unpackbits(x ^ y).sum())
+    odd = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
     assert 20 <= odd <= 40 and not (x ^ near_dedup.odd_sketch(a)).any()
 
 
