@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 class RunFilter:
@@ -18,6 +21,16 @@ class RunFilter:
         hexed = keys.select(F.hex(column).alias("h"))
         return cls(hexed._jdf.stat().bloomFilter("h", max(int(expected), 1), float(fpp)))
 
+    @classmethod
+    def build_each(cls, keys: DataFrame, column: str = "key", expected: int = 1, fpp: float = 0.01) -> dict[str, RunFilter]:
+        """One filter for each file of `keys`, by its name, all in one job; `expected` is the most keys a file has."""
+        spark, n = keys.sparkSession, max(int(expected), 1)
+        bits = max(1, int(-n * math.log(fpp) / math.log(2) ** 2))
+        made = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.hex(column), F.lit(n).cast("long"), F.lit(bits).cast("long"))
+        rows = keys.groupBy(F.input_file_name().alias("file")).agg(made.alias("filter")).collect()  # a row a file
+        jvm = spark.sparkContext._jvm
+        return {r["file"]: cls(jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(jvm.java.io.ByteArrayInputStream(bytes(r["filter"])))) for r in rows}
+
     def might_contain(self, key: bytes) -> bool:
         return self._filter.mightContainString(key.hex().upper())
 

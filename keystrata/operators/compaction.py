@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +16,12 @@ from keystrata.sources.manifest import RunInfo
 
 @dataclass(frozen=True)
 class Pick:
-    """Runs to merge, the level of the result, and whether tombstones may go."""
+    """Runs to merge, the level of the result, and whether tombstones may go; with `move` they only change level."""
 
     runs: tuple[RunInfo, ...]
     level: int
     drop_tombstones: bool
+    move: bool = False
 
 
 def reaches_oldest(all_runs: Sequence[RunInfo], picked: Sequence[RunInfo]) -> bool:
@@ -51,8 +54,12 @@ def overlaps(a: RunInfo, low: bytes, high: bytes) -> bool:
 
 
 def pick_leveled(runs: Sequence[RunInfo], min_merge: int, first_budget: int, ratio: float = 2.0) -> Pick | None:
-    """All of level 0 if it has min_merge runs, else the lowest-range run of the shallowest level over budget;
-    together with what overlaps on the level below."""
+    """All of level 0 if it has min_merge runs, else as many of the lowest-range runs of the shallowest level over
+    budget as bring it within; together with what overlaps on the level below.
+
+    The first of these runs that meet nothing below, and have no tombstones that may go, are moved instead of merged.
+    So a level takes at most one move and one merge, however many runs it is over by.
+    """
     by_level: dict[int, list[RunInfo]] = {}
     for r in runs:
         by_level.setdefault(r.level, []).append(r)
@@ -63,10 +70,24 @@ def pick_leveled(runs: Sequence[RunInfo], min_merge: int, first_budget: int, rat
         if not over:
             return None
         level = over[0]
-        source = [min(by_level[level], key=lambda r: r.min_key)]
+        excess, source = sum(r.bytes for r in by_level[level]) - level_budget_of(level, first_budget, ratio), []
+        for r in sorted(by_level[level], key=lambda r: r.min_key):
+            if excess <= 0:
+                break
+            source.append(r)
+            excess -= r.bytes
+    deeper = any(n > level + 1 for n in by_level)
+    if level:
+        ranges = sorted(by_level.get(level + 1, []), key=lambda r: r.min_key)
+
+        def apart(r: RunInfo) -> bool:
+            i = bisect_left(ranges, r.min_key, key=lambda b: b.max_key)
+            return (deeper or not r.tombstones) and (i == len(ranges) or not overlaps(ranges[i], r.min_key, r.max_key))
+
+        if moved := tuple(takewhile(apart, source)):
+            return Pick(moved, level + 1, not deeper, move=True)
     low, high = min(r.min_key for r in source), max(r.max_key for r in source)
     below = [r for r in by_level.get(level + 1, []) if overlaps(r, low, high)]
-    deeper = any(n > level + 1 for n in by_level)
     return Pick(tuple(source + below), level + 1, not deeper)
 
 

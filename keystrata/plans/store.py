@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,9 @@ from keystrata.operators.separation import dereference, split_values
 from keystrata.schema import CHANGE_LOG, DELETE, PUT, VALUES
 from keystrata.sources import files, wire
 from keystrata.sources.manifest import Manifest, ManifestStore, RunInfo, runs_frame
-from keystrata.sources.runs import describe, may_hold, meets, orphans, read_runs, write_run
+from keystrata.sources.runs import describe, filter_batches, may_hold, meets, orphans, read_runs, write_run
+
+LEVEL_TASK_BYTES = 256 << 10  # smaller level files are written by one task up to this size
 
 
 @dataclass
@@ -208,7 +211,8 @@ class Store:
                 if size[0]:
                     self.counters.value_bytes += size[1]
                     self.manifest = replace(self.manifest, generations=tuple(sorted({*self.manifest.generations, gen})))
-        write_run(rows, path, parts, -(-expected // parts) if expected else None)
+        together = max(1, LEVEL_TASK_BYTES // self.options.level_file_bytes) if split else 1
+        write_run(rows, path, parts, -(-expected // parts) if expected else None, together)
         new = describe(self.spark, path, name, level, split)
         if self.options.run_filters:
             self._build_filters([r for r in new if r.records])
@@ -294,9 +298,13 @@ class Store:
 
     def _build_filters(self, runs: list[RunInfo]) -> None:
         files.make_dirs(self.spark, f"{self.path}/filters")
-        for run in runs:
-            RunFilter.build(read_runs(self.spark, [run]), "key", run.records).save(self.spark, f"{self.path}/filters/{run.name}.bloom")
-            self._filters.pop(run.name, None)
+        for some in filter_batches(runs):
+            built = RunFilter.build_each(read_runs(self.spark, some), "key", max(r.records for r in some)) if len(some) > 1 else {}
+            made = {r.name: built.get(r.path) or RunFilter.build(read_runs(self.spark, [r]), "key", r.records) for r in some}
+            with ThreadPoolExecutor(16) as pool:  # a small file each, so nearly all of it is waiting
+                list(pool.map(lambda name: made[name].save(self.spark, f"{self.path}/filters/{name}.bloom"), made))
+            for name in made:
+                self._filters.pop(name, None)
 
     def set_bloom_enabled(self, on: bool) -> None:
         self.bloom = on
@@ -310,11 +318,14 @@ class Store:
         return pick_leveled(self.manifest.runs, o.min_merge, o.first_level_bytes, o.size_ratio)
 
     def compact(self) -> int:
-        """Merge until no pick is left; returns the number of merges."""
+        """Merge until no pick is left; returns the number of merges and moves."""
         n = 0
         with self._lock:
             while pick := self.pick():
-                self._merge(list(pick.runs), pick.level, pick.drop_tombstones)
+                if pick.move:
+                    self._move(list(pick.runs), pick.level)
+                else:
+                    self._merge(list(pick.runs), pick.level, pick.drop_tombstones)
                 n += 1
         return n
 
@@ -335,6 +346,11 @@ class Store:
         changed = self.manifest.replaced(picked, new)
         self.manifest = self.manifests.commit(changed.ordered() if self.options.strategy == "leveled" else changed)
 
+    def _move(self, picked: list[RunInfo], level: int) -> None:
+        """Give runs that meet nothing on `level` that level; their files stay as they are."""
+        moved = self.manifest.replaced(picked, [replace(r, level=level) for r in picked])
+        self.manifest = self.manifests.commit(moved.ordered())
+
     def collect_values(self) -> None:
         """Keep only live rows, copy their separated values to the next generation, and drop the old ones."""
         with self._lock:

@@ -11,6 +11,7 @@ from keystrata.sources import files
 from keystrata.sources.manifest import RunInfo
 
 BLOOM_FPP = 0.01
+FILTERED_AT_ONCE = 1 << 22  # records, so at most 10 MB of filters come to the driver by one job
 
 
 def writer(df: DataFrame, expected: int | None, block_bytes: int | None = None):
@@ -22,10 +23,12 @@ def writer(df: DataFrame, expected: int | None, block_bytes: int | None = None):
     return w
 
 
-def write_run(df: DataFrame, path: str, parts: int, expected: int | None = None) -> None:
-    """Write resolved rows as one run of `parts` key-disjoint sorted files."""
-    ranged = df.repartitionByRange(parts, "key") if parts > 1 else df.coalesce(1)
-    writer(ranged.sortWithinPartitions("key"), expected).parquet(path)
+def write_run(df: DataFrame, path: str, parts: int, expected: int | None = None, together: int = 1) -> None:
+    """Write resolved rows as one run of about `parts` key-disjoint sorted files of `expected` rows; a task writes `together` of them."""
+    tasks = -(-parts // together) if expected else parts
+    ranged = df.repartitionByRange(tasks, "key") if tasks > 1 else df.coalesce(1)
+    w = writer(ranged.sortWithinPartitions("key"), expected)
+    (w.option("maxRecordsPerFile", expected) if tasks < parts else w).parquet(path)
 
 
 def describe(spark: SparkSession, path: str, name: str, level: int, split: bool = False) -> list[RunInfo]:
@@ -51,6 +54,18 @@ def read_runs(spark: SparkSession, runs: list[RunInfo], bloom: bool = True) -> D
     return spark.read.schema(RUN).option("parquet.filter.bloom.enabled", str(bloom).lower()).parquet(*[r.path for r in runs])
 
 
+def filter_batches(runs: list[RunInfo]) -> list[list[RunInfo]]:
+    """Runs whose filters one job may build: single files, alike in records by a factor of two; the others by themselves."""
+    out: dict[tuple, list[list[RunInfo]]] = {}
+    for r in runs:
+        kind = (r.records.bit_length(),) if "." in r.name else (r.name,)
+        batches = out.setdefault(kind, [[]])
+        if (len(batches[-1]) + 1) << r.records.bit_length() > FILTERED_AT_ONCE and batches[-1]:
+            batches.append([])
+        batches[-1].append(r)
+    return [b for batches in out.values() for b in batches]
+
+
 def may_hold(run: RunInfo, key: bytes) -> bool:
     return run.min_key <= key <= run.max_key
 

@@ -50,6 +50,24 @@ def test_leveled_picks():
     assert pick_leveled([low, high], 2, 1000) is None
 
 
+def test_leveled_takes_all_the_excess_at_once():
+    files = [run(i, 10, 1, b"k%03d" % (2 * i), b"k%03d" % (2 * i + 1)) for i in range(100)]
+    pick = pick_leveled(files[::-1], 2, 200)
+    assert pick.move and pick.level == 2 and list(pick.runs) == files[:80]  # nothing below: the level alone changes
+    below = run(200, 10, 2, b"k101", b"k102")
+    pick = pick_leveled([*files, below], 2, 200)
+    assert pick.move and list(pick.runs) == files[:50]
+    pick = pick_leveled([*files[50:], below], 2, 200)
+    assert not pick.move and list(pick.runs) == [*files[50:80], below]
+
+
+def test_tombstones_are_not_moved_to_where_they_may_go():
+    dead = RunInfo("run-000001", "p", 1, 5, 2, 30, b"a", b"f", 1)
+    pick = pick_leveled([dead], 2, 10)
+    assert not pick.move and pick.drop_tombstones
+    assert pick_leveled([dead, run(0, 10, 3, b"a", b"z")], 2, 10).move
+
+
 def test_manifest_round_trip_and_foreign_file():
     m = Manifest(version=3, runs=(run(1, 5, lo=b"\x00", hi=b"\xff"),), generations=(1, 2), batches={"b:1": 2})
     assert Manifest.loads(m.dumps()) == m

@@ -148,6 +148,27 @@ def test_leveled_runs_are_disjoint(spark, store_path):
     assert max(by_level) >= 1 and contents(s) == want and contents(Store(spark, store_path, s.options)) == want
 
 
+def test_leveled_load_takes_few_steps_and_filters_every_file(spark, store_path):
+    s = Store(spark, store_path, Options(strategy="leveled", min_merge=2, buffer_bytes=100, value_threshold=None))
+    want, jobs = {}, spark.sparkContext.statusTracker()
+    for turn in range(2):
+        rows = [(f"k{i:04d}".encode(), i, 0, f"{turn}".encode() * 20) for i in range(turn, 400, turn + 1)]
+        want |= {k: v for k, _, _, v in rows}
+        spark.sparkContext.setJobGroup(f"load-{turn}", "")
+        s.load(spark.createDataFrame(rows, "key binary, seq long, op int, value binary"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("load-1")) < 80  # hundreds, were files merged one by one
+    runs = s.manifest.runs
+    assert len(runs) > 50 and contents(s) == want
+    assert {f"{r.name}.bloom" for r in runs} <= set(os.listdir(f"{local(store_path)}/filters"))
+    for r in runs:
+        assert s._might_contain(r, r.min_key) and s._might_contain(r, r.max_key)
+    assert sum(s._might_contain(r, b"x%d" % i) for r in runs for i in range(20)) < len(runs)
+    for level in {r.level for r in runs}:
+        of = sorted((r for r in runs if r.level == level), key=lambda r: r.min_key)
+        assert sum(r.bytes for r in of) <= s.options.first_level_bytes * 2 ** (level - 1) and all(a.max_key < b.min_key for a, b in zip(of, of[1:]))
+
+
 def test_separation_threshold_is_inclusive_and_gc_reclaims(spark, store_path):
     s = Store(spark, store_path, quiet(value_threshold=100))
     s.put(b"in", b"i" * 99)
