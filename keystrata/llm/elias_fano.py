@@ -30,19 +30,24 @@ def encode(values: np.ndarray, top: int, prefix: str) -> dict[str, np.ndarray]:
     bits = n + (int(top) >> low_bits) + 2
     ones = high + np.arange(n)
     words = np.zeros(bits // 64 + 1, dtype=U64)
-    np.bitwise_or.at(words, ones >> 6, U64(1) << (ones & 63).astype(U64))
+    np.add.at(words, ones >> 6, U64(1) << (ones & 63).astype(U64))  # every bit once
     rank = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(np.bitwise_count(words), out=rank[1:])
     low = v & U64((1 << low_bits) - 1)
     if low_bits > 56:
         packed = low
     else:
-        packed = np.zeros((n * low_bits + 7) // 8 + 8, dtype=np.uint8)
-        for a in range(0, n, 1 << 15):  # eight values fill low_bits whole bytes
-            part = low[a : a + (1 << 15)]
-            shifted = (part[:, None] >> np.arange(low_bits, dtype=U64)) & U64(1) if low_bits else np.zeros((len(part), 0), U64)
-            got = np.packbits(shifted.astype(np.uint8).ravel(), bitorder="little")
-            packed[a * low_bits // 8 : a * low_bits // 8 + len(got)] = got
+        packed = np.zeros(n * low_bits // 64 + 2, dtype=U64)
+        for a in range(0, n if low_bits else 0, 1 << 16):  # 64 values fill low_bits whole words
+            part = low[a : a + (1 << 16)]
+            bit = np.arange(a, a + len(part)) * low_bits
+            at, shift = bit >> 6, (bit & 63).astype(U64)
+            # in every word some value begins, and at most one runs on into the next
+            start = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+            packed[at[0] : at[-1] + 1] |= np.bitwise_or.reduceat(part << shift, start)
+            over = np.flatnonzero(shift > 64 - low_bits)
+            packed[at[over] + 1] |= part[over] >> (U64(64) - shift[over])
+        packed = packed.view(np.uint8)[: (n * low_bits + 7) // 8 + 8]
     return {f"{prefix}.head": np.array([n, low_bits], dtype=np.int64), f"{prefix}.high": words, f"{prefix}.rank": rank, f"{prefix}.low": packed}
 
 
@@ -113,23 +118,22 @@ class EliasFano:
         hi = np.where(h > 0, b - h, a)
         lo = np.where(h > 0, a - prev, 0)
         lo = np.maximum(lo, begin)
-        stop = hi = np.minimum(hi, self.n if end is None else end)
-        want = x & self.mask
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi = hi.copy() if hi is stop else hi
-            hi[open_[~less]] = mid[~less]
-        ok = inside & (lo < stop)
+        hi = np.minimum(hi, self.n if end is None else end)
         out = np.full(len(x), -1, dtype=np.int64)
-        at = np.flatnonzero(ok)
-        same = self.low(lo[at]) == want[at]
-        out[at[same]] = lo[at[same]]
-        return out
+        at = np.flatnonzero(inside & (lo < hi))
+        lo, hi, want = lo[at], hi[at] - 1, (x & self.mask)[at]
+        while True:  # down to one place each, a value's first; those that are there leave
+            wide = lo < hi
+            if not wide.all():
+                done = ~wide
+                lone = lo[done]
+                out[at[done]] = np.where(self.low(lone) == want[done], lone, -1)
+                at, lo, hi, want = at[wide], lo[wide], hi[wide], want[wide]
+            if not len(at):
+                return out
+            mid = (lo + hi) >> 1
+            less = self.low(mid) < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:

@@ -65,14 +65,51 @@ def slices(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.Rec
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their summed counts."""
+    """Distinct sorted keys and their summed counts, all at least 1: rows are counted, then what some count beyond 1 is added."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(first)
-    return k[at], np.add.reduceat(c, at) if len(at) else c
+    more = np.flatnonzero(c > 1)
+    extra, c = k[more], c[more] - 1
+    k, n = np.unique(k, return_counts=True)
+    np.add.at(n, np.searchsorted(k, extra), c)
+    return k, n
+
+
+def order_of(x: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers from 0, sorted as plain words that hold a number and its place, if both fit."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + bits > 63:
+        return np.argsort(x, kind="stable")
+    key = (x << bits) | np.arange(len(x))
+    key.sort()
+    return key & ((1 << bits) - 1)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and which of them each is; by a hash table, as tokens repeat."""
+    found = pa.array(h).dictionary_encode()
+    u = np.asarray(found.dictionary)
+    order = np.argsort(u)
+    number = np.empty(len(u), np.int64)
+    number[order] = np.arange(len(u))
+    return u[order], number[np.asarray(found.indices)]
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers from 0 under 2^32 in rising order, as two arrays, and which of them each is."""
+    bits, low = len(a).bit_length(), int(b.max(initial=0)).bit_length()
+    if int(a.max(initial=0)).bit_length() + low + bits > 63:
+        key, inverse = np.unique((a.astype(K.U64) << K.U64(32)) | b.astype(K.U64), return_inverse=True)
+        return (key >> K.U64(32)).astype(np.int64), (key & K.U64(0xFFFFFFFF)).astype(np.int64), inverse
+    key = (((a << low) | b) << bits) | np.arange(len(a))
+    key.sort()
+    order = key & ((1 << bits) - 1)
+    key >>= bits
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    key = key[new]
+    return key >> low, key & ((1 << low) - 1), inverse
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -222,7 +259,7 @@ class Level:
         share, left = np.zeros(len(ctx)), np.ones(len(ctx))
         place, rank = np.full(len(ctx), -1, np.int64), np.full(len(ctx), NONE, np.int64)
         shard = shard_of(ctx, word, self.hot, len(self.files))
-        order = np.argsort(shard, kind="stable")
+        order = order_of(shard)
         cut = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
         for s, file in enumerate(self.files):
             rows = order[cut[s] : cut[s + 1]]
@@ -284,39 +321,40 @@ class Trie:
         The latter, if asked for with more, are distinct (context, successor, count), sorted. Of each order only distinct n-grams are looked up.
         """
         first = np.cumsum(n) - n
-        u, inverse = np.unique(h, return_inverse=True)
+        u, inverse = distinct(h)
         ids, counts = self.words.find(u)
-        ids, counts = ids[inverse], counts[inverse]
-        code = np.where(ids < 0, NONE, ids)
-        ctx = np.empty_like(ids)
-        ctx[1:] = ids[:-1]
-        ctx[first] = self.meta["distinct"]  # the place before a text
-        names = None  # the contexts that ctx numbers, in rising order: lookups then sweep through a level
+        counts, known = counts[inverse], ids >= 0
+        gone = int(known.sum())  # the code of a successor that no level holds
+        code = np.where(known, np.cumsum(known) - 1, gone)[inverse]
+        ctx = np.empty_like(code)
+        ctx[1:] = np.where(code < gone, code, -1)[:-1]
+        ctx[first] = gone
+        words = np.append(ids[known], NONE)  # what code stands for; places in a level rise with the hashes
+        # the contexts that ctx numbers, in rising order: lookups then sweep through a level
+        names = np.append(ids[known], self.meta["distinct"])  # the last is the place before a text
         steps = []
         for level in [*self.levels, None]:
             rows = np.flatnonzero(ctx >= 0)
-            key = (ctx[rows].astype(K.U64) << K.U64(32)) | code[rows].astype(K.U64)
-            if level is None:
-                key = key[code[rows] != NONE]
-                key, times = np.unique(key, return_counts=True)
-            else:
-                key, inverse = np.unique(key, return_inverse=True)
-            c, w = (key >> K.U64(32)).astype(np.int64), (key & K.U64(NONE)).astype(np.int64)
-            c = c if names is None else names[c]
             if level is None:
-                return counts, steps, (c, w, times)
+                rows = rows[code[rows] != gone]
+                key, times = np.unique((ctx[rows] << 32) | code[rows], return_counts=True)
+                c, w = names[key >> 32], key & NONE
+                return counts, steps, (c, w if words is None else words[w], times)
+            c, w, inverse = distinct_pairs(ctx[rows], code[rows])
+            c, w = names[c], np.where(w == gone, NONE, w) if words is None else words[w]
             share, left, place, rank = level.lookup(c, w)
             steps.append((rows, share[inverse], left[inverse]))
             if not more and level is self.levels[-1]:
                 return counts, steps, ()
-            by = np.argsort(place)
-            absent = np.searchsorted(place, 0, sorter=by)
-            names, number = place[by[absent:]], np.empty_like(by)
-            number[by] = np.arange(-absent, len(by) - absent)
+            held = np.flatnonzero(place >= 0)
+            by = held[order_of(place[held])]
+            names, number = place[by], np.full(len(place), -1, np.int64)
+            number[by] = np.arange(len(by))
             cell = np.full(len(ctx), -1, np.int64)
-            cell[rows] = np.maximum(number, -1)[inverse]
-            code = np.full(len(ctx), NONE, np.int64)
-            code[rows] = rank[inverse]
+            cell[rows] = number[inverse]
+            words, gone = None, int(rank[held].max(initial=-1)) + 1  # small numbers, so that pairs sort as plain words
+            code = np.full(len(ctx), gone, np.int64)
+            code[rows] = np.where(place >= 0, rank, gone)[inverse]
             ctx = np.empty_like(cell)
             ctx[1:] = cell[:-1]
             ctx[first] = -1  # nothing precedes the place before a text
@@ -352,7 +390,7 @@ def add_level(texts: DataFrame, meta: dict, hot: dict[int, int], folder: str) ->
         for _, _, _, data, offsets in slices(batches, 0):
             ctx, word, c = trie.walk(*tokens(data, offsets))[2]
             shard = shard_of(ctx, word, names, shards)
-            by = np.argsort(shard, kind="stable")
+            by = order_of(shard)
             cut = np.searchsorted(shard[by], np.arange(shards + 1))
             rows = [(s, _blob(ctx[o], word[o], c[o])) for s in range(shards) if len(o := by[cut[s] : cut[s + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])

@@ -34,6 +34,36 @@ def test_pack_and_map(tmp_path):
     assert all((back[k] == v).all() and len(back[k]) == len(v) for k, v in arrays.items()) and len(list(tmp_path.iterdir())) == 1
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 32), st.lists(st.tuples(st.integers(0, (1 << 32) - 1), st.integers(0, (1 << 32) - 1)), max_size=200), st.integers(1, 50))
+def test_sorts_as_plain_words(bits, pairs, most):
+    a = np.array([x % most if i % 2 else x >> (32 - bits) for i, (x, _) in enumerate(pairs)], dtype=np.int64)
+    b = np.array([y >> (32 - bits) for _, y in pairs], dtype=np.int64)
+    c, w, inverse = lm.distinct_pairs(a, b)  # wide numbers take the other way
+    assert list(zip(c.tolist(), w.tolist())) == sorted(set(zip(a.tolist(), b.tolist()))) and (c[inverse] == a).all() and (w[inverse] == b).all()
+    assert (lm.order_of(a) == np.argsort(a, kind="stable")).all()
+    u, inverse = lm.distinct(a.astype(np.uint64))
+    assert u.tolist() == sorted(set(a.tolist())) and (u[inverse] == a.astype(np.uint64)).all()
+
+
+def test_counts_beyond_one_are_added():
+    k = [np.array([1, 5, 9], dtype=np.uint64), np.array([5, 7], dtype=np.uint64), np.zeros(0, np.uint64)]
+    got = lm.summed(k, [np.array([1, 3, 1 << 40]), np.array([4, 1]), np.zeros(0, np.int64)])
+    assert [x.tolist() for x in got] == [[1, 5, 7, 9], [1, 7, 1, 1 << 40]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=300), st.data())
+def test_search_within_ranges(values, data):
+    v = np.sort(np.array(values, dtype=np.uint64))
+    seq = ef.EliasFano(ef.encode(v, int(v[-1]) + 1, "x"), "x")
+    x = np.sort(np.array(data.draw(st.lists(st.sampled_from([*values, 1, 4999]), min_size=1, max_size=50)), dtype=np.uint64))
+    begin = np.array(data.draw(st.lists(st.integers(0, len(v)), min_size=len(x), max_size=len(x))))
+    end = np.minimum(len(v), begin + 40)
+    want = [next((i for i in range(b, e) if v[i] == y), -1) for y, b, e in zip(x, begin, end)]
+    assert seq.find(x, begin, end).tolist() == want
+
+
 def expected(rows, trains, order=lm.ORDER):
     toks = [(i, words(t) + ["</s>"]) for i, t in rows]
     c, grams, follow = collections.Counter(), collections.Counter(), collections.defaultdict(set)
