@@ -11,7 +11,7 @@ of the item's words agree there, or of any `overlap` (OVERLAP = 13) consecutive
 too, as do the parts beside an inserted or deleted word. `overlap` words of which num/den agree hold an undisturbed
 seed as well. Items shorter than SPAN words are hashed whole, at every position of the text, and must agree word for word.
 
-Words become 64-bit hashes first and positions are exploded without the text. If a count shows at most
+Items and their seeds are written once. Words become 64-bit hashes first and positions are exploded without the text. If a count shows at most
 `broadcast_rows` seeds they are broadcast, and positions with no hit go before anything else is done; else
 both sides are shuffled by hash. Hits are reduced to (text, item, alignment) with map-side combination, so a
 passage that a third of all texts share is no hot group; their texts are then joined back by the row's place,
@@ -87,12 +87,14 @@ def contaminated_rows(
     """ROW_KEY and the columns of `contaminated_spans`, for each row of `keyed`, which holds ROW_KEY."""
     items = benchmark.select(F.col(item_col).alias("__item"), words_of(F.col(item_text_col)).alias("__iw")).filter(F.size("__iw") > 0)
     items = items.withColumn("__n", F.size("__iw")).withColumn("__ik", F.xxhash64("__iw")).dropDuplicates(["__item", "__ik"])
+    # items, seeds and their hashes are written: each is used up to seven times, and plans that build them anew are large
+    items = materialize(items, "items", keep=True)
     name = ["__item", "__ik"]
     long = items.filter(F.col("__n") >= SPAN)
     seeds = _stacked(_windows(long, "__iw", [*name, "__n"], 0), [*name, "__n"]).filter(F.col("__at") <= F.col("__n") - SPAN)
     seeds = seeds.select(*name, F.col("__at").alias("__p"), "__h")
     short = items.filter(F.col("__n") < SPAN).select(*name, F.lit(0).alias("__p"), _whole(F.col("__iw")).alias("__h"))
-    seeds = seeds.unionByName(short)
+    seeds = materialize(seeds.unionByName(short), "seeds", keep=True)
     small = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     lengths = [r[0] for r in items.filter(F.col("__n") < SPAN).select("__n").distinct().collect()]  # at most SPAN - 1 values
 
@@ -102,7 +104,7 @@ def contaminated_rows(
     probes = _windows(tokens, "__w", ROW_KEY, 1)
     if small:
         # most positions hit nothing: they go before their seeds become rows
-        keys = seeds.select("__h").distinct()
+        keys = materialize(seeds.select("__h").distinct(), "seed-hashes", keep=True)
         for m in range(len(MASKS)):
             probes = probes.join(F.broadcast(keys.select(F.col("__h").alias(f"__h{m}"), F.lit(True).alias(f"__hit{m}"))), f"__h{m}", "left")
         probes = probes.filter(F.coalesce(*(F.col(f"__hit{m}") for m in range(len(MASKS)))))

@@ -45,6 +45,7 @@ from keystrata.llm.common import table
 DECAY, CODES, WINDOW = 0.7, 64, 18
 MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 1500, 2500, 32_768
 LANDMARKS, MEMO = 256, 300_000
+BLOCK = 4_000_000  # numbers gathered at once
 ROUNDS, MINUS, RIDGE, VARIANTS = 5, 8.0, 3e-5, 6
 OUTER = string.punctuation + "«»“”„‘’…–—¡¿"
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,2}){3,}\S(?!\S)")
@@ -112,7 +113,7 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             at.append(i)
             ws.append(part)
     for n, (at, ws) in groups.items():
-        step = max(1, 1_000_000 // len(triples(n)[1]))
+        step = max(1, 250_000 // len(triples(n)[1]))
         for j in range(0, len(ws), step):
             yield n, np.array(at[j : j + step]), codes_of(ws[j : j + step], n)
 
@@ -141,18 +142,32 @@ def vectors(words: list[str], place: np.ndarray, dense: np.ndarray) -> np.ndarra
     out = np.zeros((len(words), dense.shape[1]), dtype=np.float32)
     for _, at, codes in by_length(words):
         idx, weight = features(codes)
-        for a in range(0, len(at), 256):
-            got = np.einsum("ijk,j->ik", dense[place[idx[a : a + 256]]], weight)
-            out[at[a : a + 256]] = np.maximum(out[at[a : a + 256]], got / np.maximum(norms(codes[a : a + 256]), 1e-9)[:, None])
+        step = max(1, BLOCK // (len(weight) * dense.shape[1]))
+        for a in range(0, len(at), step):
+            part = at[a : a + step]
+            got = np.einsum("ijk,j->ik", dense[place[idx[a : a + step]]], weight)
+            # windows of one word may share a block
+            np.maximum.at(out, part, got / np.maximum(norms(codes[a : a + step]), 1e-9)[:, None])
     return out
 
 
-def distinct_texts(bags: list[set[str]]) -> list[int]:
+def bags_of(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All segments, and each text's as places in that list: a bag of numbers is a tenth of a set of strings."""
+    place: dict[str, int] = {}
+    bags = []
+    for t in texts:
+        bag = set().union(*(segments(s) for s in SENTENCE.split(t))) if t else ()
+        bags.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), dtype=np.int32, count=len(bag)))
+    return list(place), bags
+
+
+def distinct_texts(names: list[str], bags: list[np.ndarray]) -> list[int]:
     """Bags that share no band of six minima with an earlier one taken: copies of a text count once."""
+    digest = np.fromiter(map(xxhash.xxh64_intdigest, names), dtype=K.U64, count=len(names))
     seeds, seen, out = K.seeded(60, 31)[:, None], set(), []
     for i, bag in enumerate(bags):
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in bag), dtype=K.U64, count=len(bag))
-        low = [K.mix64((h[None, :] ^ seeds[j : j + 6]).ravel()).reshape(6, -1).min(axis=1).tobytes() for j in range(0, 60, 6)] if bag else []
+        h = digest[bag]
+        low = [K.mix64((h[None, :] ^ seeds[j : j + 6]).ravel()).reshape(6, -1).min(axis=1).tobytes() for j in range(0, 60, 6)] if len(bag) else []
         keys = set(enumerate(low))
         if not keys & seen:
             seen |= keys
@@ -173,11 +188,12 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mach
     prior = share if prior is None else prior
     if not len(y) or y.min() == y.max():
         return Machine(constant=prior)
-    bags = [set().union(*(segments(s) for s in SENTENCE.split(t))) if t else set() for t in texts]
-    dirty, clean = Counter(), Counter()
-    once = distinct_texts(bags)
+    names, bags = bags_of(texts)
+    once = distinct_texts(names, bags)
+    held = np.zeros((2, len(names)), dtype=np.int64)
     for i in once:
-        (dirty if y[i] else clean).update(bags[i])
+        held[y[i], bags[i]] += 1
+    clean, dirty = (Counter({names[j]: int(n[j]) for j in np.flatnonzero(n)}) for n in held)
     nt = int(y[once].sum())
     nc = len(once) - nt
 
@@ -220,11 +236,14 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mach
         minus = list(dict.fromkeys(minus + worst))
     # the curve over each text's largest value, with classes weighted back to their true shares; half of the weight
     # of toxic texts is theirs with all witnesses spoiled
-    flat = sorted(set().union(*bags))
-    value = dict(zip(flat, machine.values(flat).tolist()))
-    hurt = {w: float(np.median(machine.values(variants[w]))) for w in witnesses}
-    top = np.array([max((value[w] for w in bag), default=machine.bias) for bag in bags])
-    again = np.array([max((hurt[w] for w in bag & known), default=np.nan) if t else np.nan for bag, t in zip(bags, y)])
+    value = machine.values(names)
+    spoiled = np.full(len(names), -np.inf)
+    for j, w in enumerate(names):
+        if w in known:
+            spoiled[j] = np.median(machine.values(variants[w]))
+    top = np.array([value[bag].max(initial=-np.inf) if len(bag) else machine.bias for bag in bags])
+    again = np.array([spoiled[bag].max(initial=-np.inf) if t else -np.inf for bag, t in zip(bags, y)])
+    again[np.isneginf(again)] = np.nan
     has = ~np.isnan(again)
     wt = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     wt[has] /= 2

@@ -37,6 +37,30 @@ def test_kernel_equals_brute_force():
     assert np.allclose(got, [[subsequence_kernel(w, m) for m in marks] for w in ws], atol=1e-5)
 
 
+def test_windows_of_a_long_word_count_by_the_largest():
+    place, dense, _ = toxicity._landmark_map(["grumblefoot", "banana"])
+    long = "grumblefoot" + "zqzqzqzq" * 5
+    alone = [toxicity.vectors([w], place, dense)[0] for w in (long, long[::-1])]
+    windows = [f"\x01{long}\x02"[j : j + toxicity.WINDOW] for j in range(0, len(long) + 2 - toxicity.WINDOW // 2, toxicity.WINDOW // 2)]
+    codes = [toxicity.codes_of([w], len(w)) for w in windows]
+    each = [np.einsum("jk,j->k", dense[place[idx[0]]], weight) / toxicity.norms(c)[0] for c in codes for idx, weight in [toxicity.features(c)]]
+    assert np.allclose(alone[0], np.max(each, axis=0), atol=1e-5)
+    assert np.allclose(toxicity.vectors([long, long[::-1]], place, dense), alone, atol=1e-5)
+
+
+def test_a_fit_needs_little_memory():
+    """The driver fits, beside Spark; one step of 256 long words by all landmarks alone took over 200 MB."""
+    import tracemalloc
+
+    rng, rows = random.Random(5), toxic_rows(300, 4)
+    texts = [t + " " + " ".join("".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(12)) for _, t in rows[0]]
+    tracemalloc.start()
+    machine = toxicity.fit(texts, [y for _, _, y in rows[1]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert machine.weight is not None and peak < 150_000_000
+
+
 def toxic_rows(n, seed):
     rng, vocab = random.Random(seed), vocabulary(3, 500)
     rows, labels = [], []

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from keystrata.llm import decontamination
 from keystrata.llm.decontamination import MASKS, OVERLAP, SPAN, contaminated_spans
 from tests.llm.util import docs_frame, prose, vocabulary, words
 
@@ -108,3 +109,17 @@ def test_rows_that_share_an_identifier_are_told_apart(spark):
     for n in (500_000, 0):
         got = contaminated_spans(docs_frame(spark, rows), bench, broadcast_rows=n).select("doc_id", "item_id", "matched").collect()
         assert sorted(map(tuple, got), key=str) == sorted([(i, b, 15) for i in (1, None) for b in (1, None)], key=str)
+
+
+def test_items_and_seeds_are_made_once(spark, tmp_path, monkeypatch):
+    """No later plan reads the benchmark again; copies of its making in one plan burdened the driver."""
+    read, write = {}, decontamination.materialize
+    monkeypatch.setattr(decontamination, "materialize", lambda df, tag, **more: read.update({tag: df.inputFiles()}) or write(df, tag, **more))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(6)]
+    spark.createDataFrame(rows[:3], "item_id long, text string").write.parquet(f"file://{tmp_path}/bench")
+    for n in (500_000, 0):
+        read.clear()
+        got = contaminated_spans(docs_frame(spark, rows), spark.read.parquet(f"file://{tmp_path}/bench"), broadcast_rows=n)
+        assert {r["doc_id"] for r in got.collect()} == {0, 1, 2}
+        assert [tag for tag, files in read.items() if any("/bench/" in f for f in files)] == ["items"]
+        assert not any("/bench/" in f for f in got.inputFiles())
